@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, small_side
+from .common import BROADCAST_ROWS, checkpointed, let, small_side
 
 WINDOW, LITERALS = 8, 5
 #: Stands before a name until it is replaced.
@@ -31,18 +31,27 @@ MARK = "\u0001"
 UNITS = "kg g mg lb lbs oz t km m cm mm mi mile miles ft feet foot in inch inches yd yard yards s sec second seconds min minute minutes h hour hours day days week weeks month months year years l ml litre litres liter liters gallon gallons usd eur gbp dollar dollars euro euros pound pounds cent cents percent pct degree degrees c f k kmh mph kb mb gb tb hz khz mhz ghz w kw v a j n pa".split()
 
 
+def separators() -> str:
+    """A class of all signs that aren't part of words, in small letters: what ASCII and Latin-1 have of them one by
+    one, which Java looks up in a table, and blocks of punctuation, symbols and spaces beyond."""
+    single = [chr(c) for c in range(256) if c != ord(MARK) and not chr(c).isalnum() and not chr(c).isupper()]
+    return "[" + "".join(f"\\x{ord(c):02x}" for c in single) + r"\u2000-\u2bff\u2e00-\u2e7f\u3000-\u3004\u3008-\u3020\ufe10-\ufe6f\uff01-\uff0f]+"
+
+
+SEPARATORS = separators()
+
+
 def valued(text: Column) -> Column:
     """The canonical words with their own values, names marked; single spaces, none at the ends."""
-    t = F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", "")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{Lo},;] )(?=\p{Lu}\p{Ll})", MARK)
-    return F.trim(F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+", " "))
+    t = let(text, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "([0-9])[.,](?=[0-9])", "$1")).otherwise(x))
+    t = F.regexp_replace(t, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{Lo},;] )", f" {MARK}")
+    return F.trim(F.regexp_replace(F.lower(t), SEPARATORS, " "))
 
 
 def templated(values: Column) -> Column:
     """The same words with placeholders."""
-    t = F.regexp_replace(values, rf"{MARK}[^ ]*+", "#p")
-    t = F.regexp_replace(t, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "#n")
-    return F.regexp_replace(t, rf"(?<=#n )(?:{'|'.join(UNITS)})(?![^ ])", "#u")
+    numbers = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "#n"), rf"(?<=#n )(?:{'|'.join(UNITS)})(?![^ ])", "#u")
+    return let(F.regexp_replace(values, rf"{MARK}[^ ]*+", "#p"), lambda t: F.when(t.rlike("[0-9]"), numbers(t)).otherwise(t))
 
 
 def words(t: Column) -> Column:

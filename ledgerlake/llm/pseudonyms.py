@@ -15,11 +15,11 @@ Values that fail their check stay. Nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 ROUNDS = 10
 #: For tests; production passes a secret of its own.
 KEY = "ledgerlake public example key"
@@ -37,11 +37,6 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def keyed(key: str, *parts: Column) -> Column:
     """64 hexadecimal digits from the key and the parts."""
     return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)), 256)
