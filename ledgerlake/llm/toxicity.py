@@ -37,25 +37,21 @@ def terms(text: str) -> list[bytes]:
     return words + [w[:k] + b"*" for w in words for k in PREFIXES if len(w) > k]
 
 
-def telling(sample: list[list[bytes]], y: np.ndarray, chi: float = CHI, most: int = TERMS, pure: float = PURE) -> list[bytes]:
-    """The terms that mark label 1, those with the largest chi-square first, ties by name. Equal rows count once."""
-    once = dict(zip(map(tuple, sample), y.tolist(), strict=True))
-    sample, y = list(once), np.array(list(once.values()))
-    n1 = int(y.sum())
-    n0, df = len(y) - n1, [Counter(), Counter()]
+def telling(sample: DataFrame, chi: float = CHI, most: int = TERMS, pure: float = PURE) -> list[bytes]:
+    """The terms that mark label 1, those with the largest chi-square first, ties by term. sample: label, terms
+    (each once); equal rows count once. Terms are counted where they are; at most `most` come to the driver."""
+    once = sample.select("label", "terms", F.xxhash64("terms").alias("ident")).dropDuplicates(["ident"])
+    n = dict(once.groupBy("label").count().collect())
+    n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n0 or not n1:
         return []
-    for found, label in zip(sample, y.tolist(), strict=True):
-        df[int(label)].update(set(found))
-    scored = []
-    for w in df[1]:
-        a, b = df[1][w], df[0][w]
-        c, d = n1 - a, n0 - b
-        under = (a + b) * (c + d) * n1 * n0
-        value = (a * d - b * c) ** 2 * (n1 + n0) / under if under else 0.0
-        if value >= chi and a / n1 >= pure * (a / n1 + b / n0):
-            scored.append((-value, w))
-    return [w for _, w in sorted(scored)[:most]]
+    df = once.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).cast("double").alias("a"), F.count_if(F.col("label") == 0).cast("double").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    cross = a * (n0 - b) - b * (n1 - a)
+    rest = n1 + n0 - a - b
+    value = F.when(rest > 0, cross * cross * (n1 + n0) / ((a + b) * rest * float(n1 * n0))).otherwise(0.0)
+    kept = df.withColumn("chi", value).filter((F.col("chi") >= chi) & (a / n1 >= pure * (a / n1 + b / n0)))
+    return [bytes(r["term"]) for r in kept.orderBy(F.col("chi").desc(), "term").limit(most).select("term").collect()]
 
 
 @dataclass
@@ -167,16 +163,16 @@ def counted(docs: DataFrame, kept: list[bytes]) -> DataFrame:
 
 def voter(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE) -> tuple[Voter, Terms, DataFrame]:
     """The index over at most per_class labelled rows of each class, its terms, and the checkpointed counts of all docs."""
-    sample = labelled_sample(docs, labels, label, per_class)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):  # a term once is enough to choose terms
-            yield pa.record_batch([b.column(0), b.column(2), pa.array([sorted(set(terms(t))) for t in b.column(1).to_pylist()], pa.list_(pa.binary()))], names=["doc_id", "label", "terms"])
+        for b in slices(batches):
+            once = [sorted(set(terms(t))) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(once, pa.list_(pa.binary()))], names=["doc_id", "label", "terms"])
 
-    ordered = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, terms array<binary>")
-    got = sorted(ordered.collect(), key=lambda r: r["doc_id"])
+    chosen = labelled_sample(docs, labels, label, per_class).select("doc_id", "text", "label")
+    sample = checkpointed(chosen.mapInArrow(run, "doc_id long, label int, terms array<binary>"))
+    got = sorted(sample.select("doc_id", "label").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in got], float)
-    kept = telling([[bytes(w) for w in r["terms"]] for r in got], y)
+    kept = telling(sample)
     found = checkpointed(counted(docs, kept))
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out()).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("ones")).first()
     share = float((known["ones"] + 1) / (known["n"] + 2))
