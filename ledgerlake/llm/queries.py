@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, decontamination, packing, passages, preference, pseudonyms, rules, secrets, simhash, toxicity
+from . import attention, decontamination, packing, passages, preference, pseudonyms, rules, secret_scan, simhash, toxicity
 from .common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scanned(table(spark, sf_dir, "documents"))
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, slices, small_side, texts
+from .passages import linked
+from .tokens import Words
 
 RADIUS, BANDS, SEED = 4, 6, 42
+#: Words of a piece, on average.
+PIECE = 8
 #: Pairs of look-up and node that are held at once.
 FRONTIER = 1 << 20
 #: Fingerprints after which a task works through its whole shards so far.
@@ -178,24 +182,88 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS, bands:
     return prints.join(named.select("fp", "component_fp").join(ids, "component_fp"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
-    """The rows of docs without those that aren't the first (by doc_id, nulls last, then text) of their group.
+def pieces(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes of all pieces of the texts, and the text of each.
 
-    Only groups of two or more rows are looked at again; their keepers are joined by fingerprint, doc_id and text
-    hash, broadcast if few.
+    A piece begins where the hash of a word says so, about every PIECE words, so an edit changes the one or two
+    pieces around it and no others. Its SimHash is of its shingles, which may reach into the next piece of the
+    text; words at a text's end that begin no shingle belong to none, and shorter texts have no pieces.
     """
-    columns, fp = docs.columns, "__fp"
-    marked = docs.withColumn(fp, fingerprint_column(F.coalesce(F.col("text"), F.lit("")), shingle))
-    ident = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    prints = checkpointed(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), ident.alias("ident")))
-    groups = link(prints, radius, bands)
-    each = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "ident")).alias("first"), F.count(F.lit(1)).alias("n"))
-    named = each.join(groups, "fp", "left").withColumn("component_fp", F.coalesce("component_fp", "fp"))
-    firsts = named.groupBy("component_fp").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
-    # whoever shares a group of two or more rows, and isn't its first, goes
-    crowded = checkpointed(named.join(firsts.select("component_fp", F.col("first").alias("keeper")), "component_fp").select(F.col("fp").alias(fp), F.col("keeper.doc_id").alias("__keep"), F.col("keeper.ident").alias("__ident")))
-    joined = marked.join(small_side(crowded), fp, "left")
-    alone = F.col("__ident").isNull()
-    chosen = F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")) & (ident == F.col("__ident"))
-    once = joined.filter(chosen).dropDuplicates([fp, "__ident"])
-    return joined.filter(alone).select(*columns).unionByName(once.select(*columns))
+    token, at = words.shingles(shingle)
+    if not len(token):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = words.text_of[at]
+    word = words.hashes(words.starts[at], words.ends[at])
+    begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])) | (word % np.uint64(PIECE) == 0))
+    out = np.zeros(len(begin), np.int64)
+    ends = np.append(begin[1:], len(token))
+    for a in range(0, len(begin), 2048):
+        b = min(a + 2048, len(begin))
+        part = token[begin[a] : ends[b - 1]]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, begin[a:b] - begin[a], axis=0, dtype=np.int32)
+        out[a:b] = np.packbits(ones * 2 > (ends[a:b] - begin[a:b])[:, None], axis=1, bitorder="little").view("<i8").ravel()
+    return out, own[begin]
+
+
+def similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, a_text, b_text), sorted by b, to the pairs (a, b) whose sets of shingles are similar enough."""
+    held: tuple[int, np.ndarray] | None = None
+    shingled = lambda t: np.unique(Words([t.encode().lower()]).shingles(shingle)[0])
+    for batch in slices(batches):
+        out = []
+        for a, b, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if held is None or held[0] != b:
+                held = (b, shingled(right))
+            x, y = shingled(left), held[1]
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y), 1):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    out.append((a, b))
+        yield pa.record_batch({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
+    """The rows of docs without those that aren't the first (by doc_id, nulls last) of their group.
+
+    Two texts are linked if their fingerprints are within the radius, or if a piece of both has the same SimHash
+    and the Jaccard similarity of their sets of shingles, taken from the whole texts, is at least `similarity`:
+    fingerprints of whole texts that are similar by 0.8 mostly differ in 6 to 14 bits, so the radius alone would
+    miss them. A text meets the first and the next one of those with an equal piece, so candidates stay in
+    proportion to pieces. Equal texts are one node. Null texts are empty; texts without words are one group.
+    """
+    ident = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts_here = b.column(2).to_pylist()
+            found, text = pieces(Words([t.encode().lower() for t in texts_here]), shingle)
+            cut = np.searchsorted(text, np.arange(b.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(found))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([fingerprint(t, shingle) for t in texts_here], pa.int64()), lists], names=["doc_id", "node", "fp", "pieces"])
+
+    known = texts(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
+    rows = checkpointed(known.mapInArrow(read, "doc_id long, node long, fp long, pieces array<long>"))
+    each = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
+    each = checkpointed(each)
+    # whole texts, by BK-trees: a node stands for its fingerprint's group
+    groups = link(each, radius, bands)
+    near = each.select("node", "fp").join(groups, "fp", "left").withColumn("group", F.coalesce("component_fp", "fp"))
+    by_print = near.join(near.groupBy("group").agg(F.min("node").alias("b")), "group").filter("node <> b").select(F.col("node").alias("a"), "b")
+    # pieces, verified on the texts
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = rows.select(F.explode("pieces").alias("signature"), "node").distinct()
+    met = signed.repartition(n, "signature").sortWithinPartitions("signature", "node").mapInArrow(linked, "a long, b long").distinct()
+    pairs = checkpointed(met)
+    wanted = small_side(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    own = known.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+    with_b = with_a.join(own.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+    by_piece = with_b.mapInArrow(lambda it: similar(it, shingle, similarity), "a long, b long")
+    classes = components(by_print.unionByName(by_piece))
+    placed = each.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = placed.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("rows")).filter("rows > 1")
+    crowded = checkpointed(placed.join(firsts, "component").select(F.col("node").alias("__node"), F.col("keeper.doc_id").alias("__keep"), (F.col("keeper.node") == F.col("node")).alias("__first")))
+    joined = docs.withColumn("__node", ident).join(small_side(crowded), "__node", "left")
+    kept = joined.filter(F.col("__first") & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep"))).dropDuplicates(["__node"])
+    return joined.filter(F.col("__first").isNull()).select(*docs.columns).unionByName(kept.select(*docs.columns))
