@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, components, slices, small_side, texts
 from .passages import linked
-from .tokens import Words
+from .tokens import Words, mixed
 
 RADIUS, BANDS, SEED = 4, 6, 42
-#: Words of a piece, on average.
-PIECE = 8
+#: Words of a piece, on average, and how many pieces of a text are compared: those with the least SimHashes, mixed.
+PIECE, SKETCH = 8, 12
 #: Pairs of look-up and node that are held at once.
 FRONTIER = 1 << 20
 #: Fingerprints after which a task works through its whole shards so far.
@@ -206,6 +206,26 @@ def pieces(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return out, own[begin]
 
 
+def sketches(found: np.ndarray, text: np.ndarray, n: int) -> pa.ListArray:
+    """For each of n texts the SKETCH distinct pieces that come first by a hash, the same ones wherever they occur."""
+    order = np.lexsort((found, mixed(found.view(np.uint64), 9), text))
+    found, text = found[order], text[order]
+    fresh = np.concatenate(([True], (found[1:] != found[:-1]) | (text[1:] != text[:-1]))) if len(found) else np.zeros(0, bool)
+    found, text = found[fresh], text[fresh]
+    place = np.arange(len(text)) - np.searchsorted(text, text)
+    found, text = found[place < SKETCH], text[place < SKETCH]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), pa.array(found))
+
+
+def distinct(words: Words, shingle: int, n: int) -> pa.Array:
+    """How many different shingles each of n texts has."""
+    token, at = words.shingles(shingle)
+    own = words.text_of[at]
+    order = np.lexsort((token, own))
+    fresh = np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (own[order][1:] != own[order][:-1]))) if len(token) else np.zeros(0, bool)
+    return pa.array(np.bincount(own[order][fresh], minlength=n), pa.int32())
+
+
 def similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, a_text, b_text), sorted by b, to the pairs (a, b) whose sets of shingles are similar enough."""
     held: tuple[int, np.ndarray] | None = None
@@ -229,22 +249,23 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     Two texts are linked if their fingerprints are within the radius, or if a piece of both has the same SimHash
     and the Jaccard similarity of their sets of shingles, taken from the whole texts, is at least `similarity`:
     fingerprints of whole texts that are similar by 0.8 mostly differ in 6 to 14 bits, so the radius alone would
-    miss them. A text meets the first and the next one of those with an equal piece, so candidates stay in
-    proportion to pieces. Equal texts are one node. Null texts are empty; texts without words are one group.
+    miss them. SKETCH pieces of a text are compared (a min-hash sample: similar texts share nearly half of all
+    pieces or more, so 12 samples miss under 1 in 1000 pairs), and a text meets the first and the next one, by
+    size, of those with an equal piece, so candidates stay in proportion to texts. Equal texts are one node. Null texts are empty; texts without words are one group.
     """
     ident = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts_here = b.column(2).to_pylist()
-            found, text = pieces(Words([t.encode().lower() for t in texts_here]), shingle)
-            cut = np.searchsorted(text, np.arange(b.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(found))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([fingerprint(t, shingle) for t in texts_here], pa.int64()), lists], names=["doc_id", "node", "fp", "pieces"])
+            words = Words([t.encode().lower() for t in texts_here])
+            found, text = pieces(words, shingle)
+            lists, sizes = sketches(found, text, b.num_rows), distinct(words, shingle, b.num_rows)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([fingerprint(t, shingle) for t in texts_here], pa.int64()), lists, sizes], names=["doc_id", "node", "fp", "pieces", "size"])
 
     known = texts(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
-    rows = checkpointed(known.mapInArrow(read, "doc_id long, node long, fp long, pieces array<long>"))
-    each = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
+    rows = checkpointed(known.mapInArrow(read, "doc_id long, node long, fp long, pieces array<long>, size int"))
+    each = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"))
     each = checkpointed(each)
     # whole texts, by BK-trees: a node stands for its fingerprint's group
     groups = link(each, radius, bands)
@@ -252,9 +273,13 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     by_print = near.join(near.groupBy("group").agg(F.min("node").alias("b")), "group").filter("node <> b").select(F.col("node").alias("a"), "b")
     # pieces, verified on the texts
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = rows.select(F.explode("pieces").alias("signature"), "node").distinct()
-    met = signed.repartition(n, "signature").sortWithinPartitions("signature", "node").mapInArrow(linked, "a long, b long").distinct()
-    pairs = checkpointed(met)
+    signed = rows.select(F.explode("pieces").alias("signature"), "node", "size")
+    met = signed.repartition(n, "signature").sortWithinPartitions("signature", "size", "node").mapInArrow(linked, "a long, b long").distinct()
+    sizes = each.select("node", "size")
+    for s in "ab":
+        met = met.join(small_side(sizes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"))), s)
+    alike = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")
+    pairs = checkpointed(met.filter(alike).select("a", "b"))
     wanted = small_side(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     own = known.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
