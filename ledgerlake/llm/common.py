@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Rows of text that Python handles at a time; a batch from Spark is sliced, so no list holds more.
 SLICE_ROWS = 256
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a session, unless their PYTHONPATH has it already."""
+    """Sends this package to the Python workers, once a session, unless their PYTHONPATH has it already; and has
+    Arrow batches hold BATCH_ROWS rows, as texts are long, unless the session chose a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_ledgerlake_shipped", False):

@@ -31,7 +31,7 @@ RADIUS, BANDS, SEED = 4, 6, 42
 #: Words of a piece, on average, and how many pieces of a text are compared: those with the least SimHashes, mixed.
 PIECE, SKETCH = 8, 12
 #: Pairs of look-up and node that are held at once.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 16
 #: Fingerprints after which a task works through its whole shards so far.
 SHARD_ROWS = 100_000
 
