@@ -10,8 +10,16 @@ EVENT_ID = ["_kafka_topic", "_kafka_partition", "_kafka_offset"]
 TIME_COLUMNS = ("created_at", "updated_at")
 OPS = ("c", "u", "d", "r")
 
+_TYPES = {"STRING": T.StringType(), "BIGINT": T.LongType(), "INT": T.IntegerType(), "TIMESTAMP": T.TimestampType()}
+
+
+def columns(ddl: str) -> T.StructType:
+    """Plain 'name TYPE' lists; needs no session, unlike StructType.fromDDL."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(","))])
+
+
 # The columns that the source sends, as its consumers must know them.
-RAW = T.StructType.fromDDL(
+RAW = columns(
     "op STRING, table_name STRING, primary_key STRING, before STRING, after STRING, source_ts_ms BIGINT, source_lsn BIGINT, source_tx_id BIGINT, "
     "debezium_ts_ms BIGINT, _kafka_topic STRING, _kafka_partition INT, _kafka_offset BIGINT, _ingested_at TIMESTAMP"
 )
@@ -30,7 +38,7 @@ class Contract:
 
 def _contract(pk: str, ddl: str, *pii: str) -> Contract:
     times = ", created_at STRING, updated_at STRING"
-    return Contract(pk, T.StructType.fromDDL(ddl + times), pii)
+    return Contract(pk, columns(ddl + times), pii)
 
 
 # Tables, keys and columns of the source.
@@ -42,6 +50,6 @@ CONTRACTS = {
     "disputes": _contract("dispute_id", "dispute_id BIGINT, payment_id BIGINT, amount_cents BIGINT, reason STRING, status STRING"),
 }
 
-VIOLATIONS = T.StructType.fromDDL("rule_name STRING, table_name STRING, pk STRING, observed STRING")
-INJECTED = T.StructType.fromDDL("injected_at STRING, table_name STRING, pk STRING, kind STRING")
+VIOLATIONS = columns("rule_name STRING, table_name STRING, pk STRING, observed STRING")
+INJECTED = columns("injected_at STRING, table_name STRING, pk STRING, kind STRING")
 CURRENCIES = ("USD", "EUR", "GBP")
