@@ -113,7 +113,7 @@ class Voter:
 
     def score(self, ids: list[int], tf: list[int]) -> tuple[float, list[int]]:
         """The share of weighted votes for label 1, and the doc_ids of the first three voters."""
-        if not len(self.y):
+        if len(np.unique(self.y)) < 2:
             return self.share, []
         if not ids and len(self.blank):
             who, cosine = self.blank, np.ones(len(self.blank))
@@ -175,7 +175,7 @@ def voter(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     kept = telling(sample)
     found = checkpointed(counted(docs, kept))
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out()).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("ones")).first()
-    share = float((known["ones"] + 1) / (known["n"] + 2))
+    share = float((known["ones"] + 0.5) / (known["n"] + 2))
     n = found.count()
     df = dict(found.select(F.explode("terms").alias("term")).groupBy("term").count().collect())  # at most TERMS rows
     idf = np.array([math.log(1 + n / (1 + df.get(t, 0))) for t in range(len(kept))])
@@ -192,7 +192,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class:
     """doc_id, held_out, score, predicted and evidence (the nearest examples' doc_ids) for each row of docs.
 
     Null and empty texts have no terms; like any text without kept terms they get the votes of the examples
-    without. Without usable labels the score is the smoothed share of label 1 (0.5 for none). A null doc_id is
+    without. Without labelled rows of both classes the score is the smoothed share of label 1 (0.25 for no labels). A null doc_id is
     scored and not held out; repeated rows get equal scores.
     """
     judge, _, found = voter(docs, labels, label, per_class)
