@@ -40,6 +40,46 @@ def top(rows: DataFrame, by: str, measure: str, n: int, where: str | None = None
     return kept.groupBy(by).agg(F.sum(measure).alias(measure)).orderBy(F.col(measure).desc(), by).limit(n)
 
 
+def risk(rows: DataFrame) -> DataFrame:
+    return rows.select("merchant_id", "name", "category", "current_risk_tier", "captured_30d", "disputes_30d", "refunded_30d", "flagged_30d", "chargeback_rate", "refund_rate")
+
+
+def flags(violations: DataFrame) -> DataFrame:
+    return violations.select("rule_name", "table_name", "pk", "observed")
+
+
+def reconciliations(runs_: DataFrame) -> DataFrame:
+    return runs_.select("run_ts", "mode", "checks", "mismatches")
+
+
+def maintenance(runs_: DataFrame) -> DataFrame:
+    return runs_.select("run_ts", "table_name", "files_before", "files_after", (F.col("bytes_before") / 1048576.0).alias("mb_before"), (F.col("bytes_after") / 1048576.0).alias("mb_after"))
+
+
+def amount_split(daily: DataFrame) -> DataFrame:
+    """Fees, refunds, lost disputes and net by currency, as rows."""
+    named = {"fees": "fee_cents", "refunds": "refund_cents", "chargebacks": "dispute_lost_cents", "net": "net_cents"}
+    sums = daily.groupBy("currency").agg(*(F.sum(c).alias(k) for k, c in named.items()))
+    return sums.unpivot(["currency"], list(named), "part", "cents")
+
+
+def captured_and_refunded(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("settlement_date", "currency").agg(F.sum("gross_cents").alias("gross_cents"), F.sum("refund_cents").alias("refund_cents"))
+
+
+def volume_against_chargebacks(risk_rows: DataFrame, least: int = 20) -> DataFrame:
+    return risk_rows.filter(F.col("captured_30d") >= least).select("merchant_id", "category", "captured_30d", "chargeback_rate")
+
+
+def freshness(runs_: DataFrame) -> DataFrame:
+    """By run, without backfills."""
+    return runs(runs_).filter(~F.col("is_backfill")).select("run_ts", "freshness_min")
+
+
+def catch_extremes(history: DataFrame) -> DataFrame:
+    return catch_history(history).agg(F.max("catch_rate").alias("best"), F.min("catch_rate").alias("worst"))
+
+
 def to_csv(rows: DataFrame, path: str) -> None:
     """One file, with a header even without rows, moments as naive UTC."""
     rows.coalesce(1).write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)

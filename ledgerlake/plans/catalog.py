@@ -3,8 +3,8 @@ no session's time zone matters."""
 
 from __future__ import annotations
 
-import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -280,19 +280,18 @@ def _(r: Roles) -> DataFrame:
 
 
 def _streamed(r: Roles, name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """The rows of a stream over events.parquet, through a table that Spark keeps in memory."""
+    """The rows of a stream over events.parquet, run to its end into files in the shared folder (a temporary one
+    only where the session names none)."""
     spark = r.spark
     rows = spark.readStream.schema(r.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(r.sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared.rstrip('/')}/streams/{name}" if shared else tempfile.mkdtemp()
-    target = f"ledgerlake_{name}"
-    spark.catalog.dropTempView(target)
-    q = build(rows).writeStream.format("memory").queryName(target).outputMode(mode).option("checkpointLocation", f"{folder}/{id(rows)}").trigger(availableNow=True).start()
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    out = build(rows).writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").start(f"{root}/rows")
+    else:
+        q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/rows")).start()
     q.awaitTermination()
-    out = spark.table(target)
-    if not shared:
-        shutil.rmtree(folder, ignore_errors=True)
-    return out
+    return spark.read.parquet(f"{root}/rows")
 
 
 @query("stream_bronze_append", "SELECT event_id, user_id, event_type FROM events")
