@@ -1,77 +1,82 @@
 """Preference formatting: the longest common turn prefix of a chosen and a rejected conversation is rendered once as
 the prompt, and what follows as a pair of completions whose masks keep the assistant's words only.
 
-Conversations are compared turn by turn, by joins on their number and the place of the turn; the prefix ends before
-the first place where role or text differ, or one of them has no turn. All of it is DataFrame functions: turns are
-aggregated by conversation, and equal conversations or first turns elsewhere are never brought together.
+The turns of a conversation are gathered once into its row, which is the only shuffle of their texts; the prefix is
+found within the row, turn by turn, and ends before the first place where role or text differ, or one of them has
+no turn. All of it is DataFrame functions; equal conversations or first turns elsewhere are never brought together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-OPEN, CLOSE = "<|{role}|>\n", "\n<|end|>\n"
-TURN = ["place", "role", "text"]
+NO_TURNS = "array<struct<role:string,text:string>>"
 
 
-def ordered(turns: DataFrame) -> DataFrame:
-    """conv_id, place (0, 1, ...), role and text of the turns of conversations.
+def gathered(turns: DataFrame, key: str, order: str) -> DataFrame:
+    """key and turns, an array of struct(role, text), for each key that isn't null.
 
-    Null roles and texts are empty; rows without conv_id are left out. Turns with the same number are ordered by
-    role, then text, nulls first, and rows that are equal throughout count once.
+    Null roles and texts are empty. Turns with the same number are ordered by role, then text, nulls first, and rows
+    that are equal throughout count once.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).filter("conv_id is not null").distinct()
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long") - 1).drop("turn")
+    one = F.struct(F.col(order).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("pair_id")).agg(F.sort_array(F.collect_set(one)).alias("t"))
+    return rows.select("pair_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("\n<|end|>\n"))
 
 
-def formatted(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+def joined(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, lambda t: rendered(t["role"], t["text"])), "")
+
+
+def mask(turns: Column) -> Column:
+    """struct(start, end), in code points of the rendered turns, of the assistant's texts with their end marks."""
+
+    def step(state: Column, t: Column) -> Column:
+        start = state["at"] + F.length(t["role"]) + 5
+        end = start + F.length(t["text"]) + 9
+        spans = F.when(t["role"] == "assistant", F.concat(state["spans"], F.array(F.struct(start.alias("start"), (end - 1).alias("end"))))).otherwise(state["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+
+
+def formatted(pairs: DataFrame) -> DataFrame:
     """pair_id, n_prefix_turns, prompt, chosen, rejected, chosen_mask and rejected_mask.
 
-    chosen, rejected: rows (pair_id, place, role, text) with places from 0, without gaps. A row per pair_id of
-    either side; a side without turns has an empty completion. A mask is an array of struct(start, end), in code
-    points of the completion, of what is learnt: the assistant's texts with their end marks. Equal conversations
-    are all prompt.
+    pairs: pair_id, and chosen and rejected as arrays of struct(role, text); a null array is one without turns. A
+    row for each row of pairs. The masks say what of a completion is learnt. Equal conversations are all prompt.
     """
-    a, b = (side.select("pair_id", "place", F.col("role").alias(f"{x}_role"), F.col("text").alias(f"{x}_text")) for side, x in ((chosen, "a"), (rejected, "b")))
-    both = a.join(b, ["pair_id", "place"], "full")
-    equal = F.col("a_role").eqNullSafe(F.col("b_role")) & F.col("a_text").eqNullSafe(F.col("b_text"))
-    first = F.min(F.when(~equal, F.col("place"))).over(W.partitionBy("pair_id"))
-    told = both.withColumn("split", F.coalesce(first, F.lit(1 << 62))).withColumn("shared", F.col("place") < F.col("split"))
-
-    def parts(x: str, of: Column) -> Column:
-        here = of & F.col(f"{x}_role").isNotNull()
-        return F.sort_array(F.collect_list(F.when(here, F.struct("place", F.col(f"{x}_role").alias("role"), F.col(f"{x}_text").alias("text")))))
-
-    def joined(turns: str) -> Column:
-        return F.array_join(F.transform(turns, lambda t: rendered(t["role"], t["text"])), "")
-
-    def mask(turns: str) -> Column:
-        def step(state: Column, t: Column) -> Column:
-            start = state["at"] + F.length(t["role"]) + 5
-            end = start + F.length(t["text"]) + 9
-            spans = F.when(t["role"] == "assistant", F.concat(state["spans"], F.array(F.struct(start.alias("start"), (end - 1).alias("end"))))).otherwise(state["spans"])
-            return F.struct(end.alias("at"), spans.alias("spans"))
-
-        empty = F.array().cast("array<struct<start:int,end:int>>")
-        return F.aggregate(turns, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
-
-    sides = told.groupBy("pair_id").agg(F.count_if("shared").alias("n_prefix_turns"), parts("a", F.col("shared")).alias("p"), parts("a", ~F.col("shared")).alias("c"), parts("b", ~F.col("shared")).alias("r"))
-    return sides.select("pair_id", "n_prefix_turns", joined("p").alias("prompt"), joined("c").alias("chosen"), joined("r").alias("rejected"), mask("c").alias("chosen_mask"), mask("r").alias("rejected_mask"))
-
-
-def swapped_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected turns from plain conversations: each conversation as it is, and the same with the text of
-    its last assistant turn, if it has one, swapped for that of its neighbour (conv_id with the lowest bit
-    flipped), if that has one."""
-    own = ordered(turns).withColumnRenamed("conv_id", "pair_id")
-    last = own.filter(F.col("role") == "assistant").groupBy("pair_id").agg(F.max(F.struct("place", "text")).alias("last"))
-    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("other"))
-    swap = last.select("pair_id", F.col("last.place").alias("place")).join(other, "pair_id")
-    rejected = own.join(swap, ["pair_id", "place"], "left").select("pair_id", "place", "role", F.coalesce("other", "text").alias("text"))
-    return own.select("pair_id", "place", "role", "text"), rejected
+    whole = pairs.select("pair_id", *(F.coalesce(F.col(c), F.array().cast(NO_TURNS)).alias(c) for c in ("chosen", "rejected")))
+    longest = F.greatest(F.size("chosen"), F.size("rejected"))
+    places = F.when(longest > 0, F.sequence(F.lit(0), F.greatest(longest - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    differ = F.filter(places, lambda i: ~F.get("chosen", i).eqNullSafe(F.get("rejected", i)))
+    told = whole.withColumn("n", F.coalesce(F.get(differ, F.lit(0)), longest))
+    rest = lambda c: F.slice(c, F.col("n") + 1, F.size(c))
+    told = told.select("pair_id", "n", F.slice("chosen", F.lit(1), F.col("n")).alias("p"), rest("chosen").alias("c"), rest("rejected").alias("r"))
+    return told.select("pair_id", F.col("n").cast("long").alias("n_prefix_turns"), joined("p").alias("prompt"), joined("c").alias("chosen"), joined("r").alias("rejected"), mask("c").alias("chosen_mask"), mask("r").alias("rejected_mask"))
+
+
+def paired(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Pairs from rows (pair_id, turn, role, text) of either side."""
+    sides = [gathered(side, "pair_id", "turn").withColumnRenamed("turns", name) for side, name in ((chosen, "chosen"), (rejected, "rejected"))]
+    return sides[0].join(sides[1], "pair_id", "full")
+
+
+def swapped_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs from plain conversations: each as it is, and the same with the text of its last assistant turn, if it
+    has one, swapped for that of its neighbour (conv_id with the lowest bit flipped), if that has one."""
+    own = gathered(turns, "conv_id", "turn")
+    spoken = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull())
+    own = own.withColumn("last", F.array_max(spoken))
+    # the neighbour's last turn from the log itself, so that whole conversations aren't moved again
+    said = turns.filter((F.col("role") == "assistant") & F.col("conv_id").isNotNull()).select((F.col("conv_id").bitwiseXOR(F.lit(1))).alias("pair_id"), F.struct(F.col("turn"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    other = said.groupBy("pair_id").agg(F.max("t").alias("t")).select("pair_id", F.col("t.text").alias("other"))
+    both = own.join(other, "pair_id", "left")
+    swap = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when((i == F.col("last")) & F.col("other").isNotNull(), F.col("other")).otherwise(t["text"]).alias("text")))
+    return both.select("pair_id", F.col("turns").alias("chosen"), swap.alias("rejected"))

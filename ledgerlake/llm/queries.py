@@ -18,7 +18,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference.formatted(*preference.swapped_pairs(table(spark, sf_dir, "conversations")))
+    pairs = preference.formatted(preference.swapped_pairs(table(spark, sf_dir, "conversations")))
     shown = lambda mask: F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return pairs.withColumns({"chosen_mask": shown("chosen_mask"), "rejected_mask": shown("rejected_mask")})
 

@@ -154,9 +154,9 @@ def test_preference_sql(spark):
 def test_preference_brute_force(spark):
     chosen = {1: [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")], 2: [("user", "x")], 3: [("user", "same")], 4: []}
     rejected = {1: [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "e"), ("user", "f")], 2: [("user", "y"), ("assistant", "z")], 3: [("user", "same")], 4: [("assistant", "q")]}
-    frame = lambda side: spark.createDataFrame([(p, k, r, t) for p, turns in side.items() for k, (r, t) in enumerate(turns)], "pair_id long, place long, role string, text string")
+    frame = lambda side: spark.createDataFrame([(p, k, r, t) for p, turns in side.items() for k, (r, t) in enumerate(turns)], "pair_id long, turn long, role string, text string")
     show = lambda turns: "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in turns)
-    got = {r["pair_id"]: r for r in preference.formatted(frame(chosen), frame(rejected)).collect()}
+    got = {r["pair_id"]: r for r in preference.formatted(preference.paired(frame(chosen), frame(rejected))).collect()}
     for p in chosen:
         a, b = chosen[p], rejected[p]
         n = next((k for k in range(max(len(a), len(b))) if k >= len(a) or k >= len(b) or a[k] != b[k]), len(a))
@@ -168,9 +168,9 @@ def test_preference_brute_force(spark):
 
 def test_preference_messy_turns(spark):
     turns = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "n"), (1, 1, "assistant", "b"), (0, 0, "assistant", "z" * 100_000), (None, 0, "user", "lost")], "conv_id long, turn long, role string, text string")
-    got = {r["pair_id"]: r for r in preference.formatted(*preference.swapped_pairs(turns)).collect()}
+    got = {r["pair_id"]: r for r in preference.formatted(preference.swapped_pairs(turns)).collect()}
     assert set(got) == {0, 1} and got[1]["n_prefix_turns"] == 2 and "z" * 100_000 in got[1]["rejected"]
-    assert preference.formatted(*preference.swapped_pairs(turns.limit(0))).count() == 0
+    assert preference.formatted(preference.swapped_pairs(turns.limit(0))).count() == 0
 
 
 def test_pipeline(spark, words, tmp_path):
