@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, slices, small_side, texts
-from .passages import linked
+from .passages import SAMPLED, candidates
 from .tokens import Words, mixed
 
 RADIUS, BANDS, SEED = 4, 6, 42
@@ -272,9 +272,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     near = each.select("node", "fp").join(groups, "fp", "left").withColumn("group", F.coalesce("component_fp", "fp"))
     by_print = near.join(near.groupBy("group").agg(F.min("node").alias("b")), "group").filter("node <> b").select(F.col("node").alias("a"), "b")
     # pieces, verified on the texts
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = rows.select(F.explode("pieces").alias("signature"), "node", "size")
-    met = signed.repartition(n, "signature").sortWithinPartitions("signature", "size", "node").mapInArrow(linked, "a long, b long").distinct()
+    met = candidates(signed, signed.filter(F.pmod("node", F.lit(SAMPLED)) == 0), ["size"])
     sizes = each.select("node", "size")
     for s in "ab":
         met = met.join(small_side(sizes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"))), s)

@@ -125,6 +125,17 @@ def test_planted_passages(spark, messy, words):
     assert passages.repeated_passages(messy.limit(0)).count() == 0
 
 
+def test_hot_signatures_are_dealt_and_bridged(spark, monkeypatch):
+    rows = [(7, k) for k in range(500)] + [(8, k) for k in range(0, 500, 100)] + [(9 + k, k) for k in range(50)]
+    signed = spark.createDataFrame(rows, "signature long, node long")
+    monkeypatch.setattr(passages, "HOT", 100)
+    pairs = [(r["a"], r["b"]) for r in passages.candidates(signed, signed.select("signature"), []).collect()]
+    assert len(pairs) <= 2 * 500 + 10 and len(pairs) == len(set(pairs))
+    assert set(brute_components(range(500), pairs).values()) == {0}
+    firsts = {b for _, b in pairs}
+    assert len(firsts) > passages.SALTS  # several groups, not one
+
+
 def test_decontamination(spark, small, messy):
     bench = spark.createDataFrame([(1, "If John has 12 apples and gives 3 kg of them to Mary, how many does John keep?"), (2, "Too short"), (3, None), (4, "")], "item_id long, text string")
     same = "xx yy. If Peter has 7 apples and gives 5 kg of them to Anna, how many does {} keep? zz"
