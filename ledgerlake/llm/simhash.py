@@ -30,6 +30,8 @@ from .tokens import Words, mixed
 RADIUS, BANDS, SEED = 4, 6, 42
 #: Words of a piece, on average, and how many pieces of a text are compared: those with the least SimHashes, mixed.
 PIECE, SKETCH = 8, 12
+#: How many of the texts before it a text is compared with, among those with an equal piece.
+WIDTH = 8
 #: Pairs of look-up and node that are held at once.
 FRONTIER = 1 << 16
 #: Fingerprints after which a task works through its whole shards so far.
@@ -206,15 +208,41 @@ def pieces(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return out, own[begin]
 
 
-def sketches(found: np.ndarray, text: np.ndarray, n: int) -> pa.ListArray:
-    """For each of n texts the SKETCH distinct pieces that come first by a hash, the same ones wherever they occur."""
+def bottom(found: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SKETCH distinct values of each text that come first by a hash, the same ones wherever they occur."""
     order = np.lexsort((found, mixed(found.view(np.uint64), 9), text))
     found, text = found[order], text[order]
     fresh = np.concatenate(([True], (found[1:] != found[:-1]) | (text[1:] != text[:-1]))) if len(found) else np.zeros(0, bool)
     found, text = found[fresh], text[fresh]
     place = np.arange(len(text)) - np.searchsorted(text, text)
-    found, text = found[place < SKETCH], text[place < SKETCH]
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), pa.array(found))
+    return found[place < SKETCH], text[place < SKETCH]
+
+
+def before(found: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each value of a sketch the three before it there (before the first come the last), 21 bits of each: sorted
+    by this, texts that share more of their sketches stand closer."""
+    first = np.searchsorted(text, text)
+    count = np.searchsorted(text, text, "right") - first
+    place, out = np.arange(len(text)) - first, np.zeros(len(text), np.uint64)
+    for k in range(1, 4):
+        bits = found[first + (place - k) % np.maximum(count, 1)].view(np.uint64) >> np.uint64(43)
+        out = (out << np.uint64(21)) | np.where(k < count, bits, np.uint64(0))
+    return out.view(np.int64)
+
+
+def sketches(words: Words, shingle: int, n: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each of n texts its sketch and what stands before each value: pieces, and, in texts with fewer than
+    SKETCH of them, shingles as well, as an edit may touch all of a few pieces."""
+    found, text = bottom(*pieces(words, shingle))
+    few = np.bincount(text, minlength=n) < SKETCH
+    token, at = words.shingles(shingle)
+    own = words.text_of[at]
+    more, short = bottom(mixed(token[few[own]], 11).view(np.int64), own[few[own]])
+    ahead = np.concatenate((before(found, text), before(more, short)))
+    found, text = np.concatenate((found, more)), np.concatenate((text, short))
+    order = np.argsort(text, kind="stable")
+    offsets = pa.array(np.searchsorted(text[order], np.arange(n + 1)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(found[order])), pa.ListArray.from_arrays(offsets, pa.array(ahead[order]))
 
 
 def distinct(words: Words, shingle: int, n: int) -> pa.Array:
@@ -249,9 +277,11 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     Two texts are linked if their fingerprints are within the radius, or if a piece of both has the same SimHash
     and the Jaccard similarity of their sets of shingles, taken from the whole texts, is at least `similarity`:
     fingerprints of whole texts that are similar by 0.8 mostly differ in 6 to 14 bits, so the radius alone would
-    miss them. SKETCH pieces of a text are compared (a min-hash sample: similar texts share nearly half of all
-    pieces or more, so 12 samples miss under 1 in 1000 pairs), and a text meets the first and the next one, by
-    size, of those with an equal piece, so candidates stay in proportion to texts. Equal texts are one node. Null texts are empty; texts without words are one group.
+    miss them. SKETCH pieces of a text are compared (a min-hash sample; texts with fewer pieces add as many
+    shingles). Texts with an equal piece are sorted by the pieces before it in their samples, and a text meets the
+    first and the WIDTH ones before it there, so candidates stay in proportion to texts. This isn't exact: in a
+    large group of weaker copies a pair near the limit can be missed in all its orders.
+    Equal texts are one node. Null texts are empty; texts without words are one group.
     """
     ident = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
@@ -259,21 +289,21 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
         for b in slices(batches):
             texts_here = b.column(2).to_pylist()
             words = Words([t.encode().lower() for t in texts_here])
-            found, text = pieces(words, shingle)
-            lists, sizes = sketches(found, text, b.num_rows), distinct(words, shingle, b.num_rows)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([fingerprint(t, shingle) for t in texts_here], pa.int64()), lists, sizes], names=["doc_id", "node", "fp", "pieces", "size"])
+            lists, ahead = sketches(words, shingle, b.num_rows)
+            prints, sizes = pa.array([fingerprint(t, shingle) for t in texts_here], pa.int64()), distinct(words, shingle, b.num_rows)
+            yield pa.record_batch([b.column(0), b.column(1), prints, lists, ahead, sizes], names=["doc_id", "node", "fp", "pieces", "ahead", "size"])
 
     known = texts(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
-    rows = checkpointed(known.mapInArrow(read, "doc_id long, node long, fp long, pieces array<long>, size int"))
-    each = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"))
+    rows = checkpointed(known.mapInArrow(read, "doc_id long, node long, fp long, pieces array<long>, ahead array<long>, size int"))
+    each = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", "pieces", "ahead")))
     each = checkpointed(each)
     # whole texts, by BK-trees: a node stands for its fingerprint's group
     groups = link(each, radius, bands)
     near = each.select("node", "fp").join(groups, "fp", "left").withColumn("group", F.coalesce("component_fp", "fp"))
     by_print = near.join(near.groupBy("group").agg(F.min("node").alias("b")), "group").filter("node <> b").select(F.col("node").alias("a"), "b")
     # pieces, verified on the texts
-    signed = rows.select(F.explode("pieces").alias("signature"), "node", "size")
-    met = candidates(signed, signed.filter(F.pmod("node", F.lit(SAMPLED)) == 0), ["size"])
+    signed = each.select(F.explode(F.arrays_zip("pieces", "ahead")).alias("s"), "node").select(F.col("s.pieces").alias("signature"), F.col("s.ahead").alias("ahead"), "node")
+    met = candidates(signed, signed.filter(F.pmod("node", F.lit(SAMPLED)) == 0), ["ahead"], WIDTH, F.shiftright("ahead", 42))
     sizes = each.select("node", "size")
     for s in "ab":
         met = met.join(small_side(sizes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"))), s)

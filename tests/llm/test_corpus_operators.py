@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -89,6 +90,41 @@ def test_dedup_keeps_one_of_each_group(spark, messy, words):
     assert simhash.deduplicated(messy.limit(0)).count() == 0
 
 
+def shingle_sets(texts):
+    split = [t.lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in split]
+
+
+def test_dedup_among_weak_copies(spark, words, rng):
+    """Copies too far from each other stand around the ones that are near enough; short texts have few pieces."""
+    texts = []
+    for size, edits in ((180, 7), (180, 5), (40, 1), (24, 1)):
+        base = words(size).split()
+        for _ in range(40):
+            v = list(base)
+            for _ in range(edits):
+                v[rng.randrange(size)] = words(1)
+            texts.append(" ".join(v))
+            if rng.random() < 0.5:
+                v[rng.choice((0, size - 1))] = words(1)
+                texts.append(" ".join(v))
+    sets = shingle_sets(texts)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    groups = brute_components(range(len(texts)), near)
+    kept = [r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert len({groups[k] for k in kept}) == len(kept)
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_linked_pairs_across_batches(size):
+    rows = [(1, 5), (1, 5), (1, 6), (1, 2), (1, 9), (2, 9), (3, 4), (3, 7)]
+    columns = lambda part: pa.record_batch({"key": [k for k, _ in part], "node": [n for _, n in part], "hot": [k == 3 for k, _ in part], "signature": [k for k, _ in part]}, pa.schema({"key": pa.int64(), "node": pa.int64(), "hot": pa.bool_(), "signature": pa.int64()}))
+    for width, want in ((1, {(6, 5), (5, 2), (6, 2), (9, 2), (9, 5), (7, 4)}), (2, {(6, 5), (5, 2), (6, 2), (9, 2), (9, 6), (9, 5), (7, 4)})):
+        got = [r for b in passages.linked((columns(rows[i : i + size]) for i in range(0, len(rows), size)), width) for r in b.to_pylist()]
+        assert {(r["a"], r["b"]) for r in got if not r["bridge"]} == want
+        assert [(r["a"], r["b"]) for r in got if r["bridge"]] == [(4, 3)]
+
+
 def test_windows_against_definition():
     rng = np.random.default_rng(0)
     for top in (5, 1000):
