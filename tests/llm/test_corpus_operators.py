@@ -143,6 +143,23 @@ def test_windows_against_definition():
         assert got == want
 
 
+def test_signatures_recall_edited_passages(words, rng):
+    """Pairs of passages at the limits, with an edit or two anywhere, amid other words: all share a signature."""
+    tried = 0
+    while tried < 300:
+        p = words(rng.randint(50, 70)).split()
+        q = list(p)
+        for _ in range(rng.choice((1, 1, 2))):
+            q[rng.randrange(len(q))] = words(1)
+        a, b = shingle_sets([" ".join(p), " ".join(q)])
+        if 5 * len(a & b) < 4 * len(a | b):
+            continue
+        tried += 1
+        x, y = (f"{words(100)} {' '.join(v)} {words(100)}".encode() for v in (p, q))
+        key, text = passages.signatures(passages.Words([x, y]))
+        assert set(key[text == 0].tolist()) & set(key[text == 1].tolist())
+
+
 def test_planted_passages(spark, messy, words):
     p, q, short = words(55), words(70).split(), words(30)
     edited = [*q[:33], "edited", *q[34:]]
