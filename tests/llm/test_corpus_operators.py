@@ -160,6 +160,21 @@ def test_signatures_recall_edited_passages(words, rng):
         assert set(key[text == 0].tolist()) & set(key[text == 1].tolist())
 
 
+def test_passage_whose_piece_stands_earlier(words):
+    """A piece of the passage stands alone before it in one of the texts, or in both, once or several times."""
+    tokens = lambda t: passages.Words([t.encode()]).shingles(passages.SHINGLE)[0]
+    p = words(55)
+    piece = " ".join(p.split()[15:40])
+    for n_x, n_y in ((1, 0), (0, 1), (3, 0), (1, 1), (2, 1)):
+        x, y = (" ".join([*[f"{words(20)} {piece} {words(30)}"] * n, words(40), p, words(25)]) for n in (n_x, n_y))
+        (a, b, c, d, score), *more = passages.common_passages(tokens(x), tokens(y))
+        assert not more and score == 1
+        assert x.split()[a:b] == y.split()[c:d] == p.split()
+    twice = f"{words(10)} {p} {words(30)} {p}"
+    assert len(passages.common_passages(tokens(twice), tokens(f"{words(5)} {p} {words(5)}"))) == 2
+    assert passages.common_passages(tokens(f"{words(30)} {piece}"), tokens(p)) == []
+
+
 def test_planted_passages(spark, messy, words):
     p, q, short = words(55), words(70).split(), words(30)
     edited = [*q[:33], "edited", *q[34:]]
