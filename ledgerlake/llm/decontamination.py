@@ -10,8 +10,8 @@ the item always went to one value in the document; so a question with new number
 template isn't.
 
 The documents' windows are hashed in one pass and only matches leave it: the benchmark is broadcast while it is
-counted to be small, and else the hashes are shuffled. A window that several items share stands for the least of
-them, so boilerplate in a benchmark doesn't multiply matches. Documents' slots are read in a second pass, over the
+counted to be small, and else the hashes are shuffled. A window that several items share stands for each of them, as
+each has its own values: matches multiply by the items that share a window. Documents' slots are read in a second pass, over the
 matched documents alone, and only if the benchmark's windows have any.
 """
 
@@ -65,7 +65,7 @@ def window_hashes(template: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """size, hash, item_id, item_pos, slots (array of struct(at, value)): a row for each distinct window."""
+    """size, hash, item_id, item_pos, slots (array of struct(at, value)): a row for each window of each item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), valued(F.coalesce(F.col("text"), F.lit(""))).alias("v"))
     items = items.select("item_id", words(F.col("v")).alias("v"), words(templated(F.col("v"))).alias("t")).filter(F.size("t") > 0)
     items = items.withColumn("size", F.least(F.size("t"), F.lit(window)))
@@ -73,9 +73,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int
     own = every.select("item_id", "size", "item_pos", F.slice("t", F.col("item_pos") + 1, F.col("size")).alias("t"), F.slice("v", F.col("item_pos") + 1, F.col("size")).alias("v"))
     enough = own.filter(F.size(F.filter("t", lambda w: ~w.startswith("#"))) >= literals)
     slots = F.filter(F.transform("t", lambda w, i: F.struct(i.alias("at"), F.when(w.startswith("#"), F.get(F.col("v"), i)).alias("value"))), lambda s: s["value"].isNotNull())
-    named = enough.select("size", F.xxhash64("t").alias("hash"), "item_id", "item_pos", slots.alias("slots"))
-    least = named.groupBy("size", "hash").agg(F.min(F.struct("item_id", "item_pos", "slots")).alias("w"))
-    return least.select("size", "hash", "w.item_id", "w.item_pos", "w.slots")
+    return enough.select("size", F.xxhash64("t").alias("hash"), "item_id", "item_pos", slots.alias("slots")).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:

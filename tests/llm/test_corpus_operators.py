@@ -220,6 +220,16 @@ def test_decontamination(spark, small, messy):
     assert decontamination.matches(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_items_with_a_common_template(spark):
+    same = "a train that covers {} km in {} min at a steady pace on a straight line has what speed"
+    bench = spark.createDataFrame([(1, same.format(60, 60)), (2, same.format(90, 30)), (3, same.format(45, 15))], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"zz {same.format(90, 30)} zz"), (11, same.format(70, 70)), (12, same.format(80, 20)), (13, "a train that covers a lot")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontamination.matches(docs, bench).collect()}
+    # consistent with an item: other values go to equal values at will, one value to two doesn't
+    assert got == {(10, 2): True, (10, 3): False, (11, 1): False, (11, 2): False, (11, 3): False, (12, 2): False, (12, 3): False}
+    assert {r["doc_id"] for r in decontamination.cleaned(docs, bench).collect()} == {13}
+
+
 def test_preference_sql(spark):
     d = "/root/testdata/sf0.01"
     c = duckdb.connect()
