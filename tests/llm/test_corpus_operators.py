@@ -230,6 +230,20 @@ def test_decontamination_of_items_with_a_common_template(spark):
     assert {r["doc_id"] for r in decontamination.cleaned(docs, bench).collect()} == {13}
 
 
+def test_decontamination_of_dense_and_short_items(spark):
+    items = ["What is 12 + 7 * 3 - 4?", "John has 3 apples, Mary has 5 pears, Tom has 7 plums", "name the capital", "3 1 4 1 5 9 2 6 5", "pi 3"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = {
+        10: "so then what is 12 + 7 * 3 - 4? zz", 11: "so then what is 5 + 8 * 6 - 9? zz", 12: "Peter has 4 apples, Anna has 6 pears, Bob has 9 plums", 13: "xx. Name the capital! yy",
+        14: "zz 3 1 4 1 5 9 2 6 5 zz", 15: "then pi 3 zz", 20: "what is 12 to you", 21: "zz 2 7 1 8 2 8 1 8 2 zz", 22: "then pi 4 zz", 23: "so then what is 5 + 5 * 6 - 5? zz, name the city", 24: "zz has 4 apples, Anna has 6 pears",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontamination.matches(docs, bench).collect()}
+    # 23: 5 stands for 12 and for 7, which is consistent, as each value of the item went to one value
+    assert got == {(10, 0): True, (11, 0): False, (12, 1): False, (13, 2): True, (14, 3): True, (15, 4): True, (23, 0): False}
+    assert {r["doc_id"] for r in decontamination.cleaned(docs, bench).collect()} == {20, 21, 22, 24}
+
+
 def test_preference_sql(spark):
     d = "/root/testdata/sf0.01"
     c = duckdb.connect()
