@@ -121,26 +121,43 @@ def test_linked_pairs_across_batches(size):
     columns = lambda part: pa.record_batch({"key": [k for k, _ in part], "node": [n for _, n in part], "hot": [k == 3 for k, _ in part], "signature": [k for k, _ in part]}, pa.schema({"key": pa.int64(), "node": pa.int64(), "hot": pa.bool_(), "signature": pa.int64()}))
     for width, want in ((1, {(6, 5), (5, 2), (6, 2), (9, 2), (9, 5), (7, 4)}), (2, {(6, 5), (5, 2), (6, 2), (9, 2), (9, 6), (9, 5), (7, 4)})):
         got = [r for b in passages.linked((columns(rows[i : i + size]) for i in range(0, len(rows), size)), width) for r in b.to_pylist()]
-        assert {(r["a"], r["b"]) for r in got if not r["bridge"]} == want
-        assert [(r["a"], r["b"]) for r in got if r["bridge"]] == [(4, 3)]
+        assert {(r["a"], r["b"]) for r in got if r["kind"] == passages.PAIR} == want
+        assert [(r["a"], r["b"]) for r in got if r["kind"] == passages.BRIDGE] == [(4, 3)]
+        assert sorted((r["b"], r["a"]) for r in got if r["kind"] == passages.MEMBER) == [(1, 2), (1, 5), (1, 6), (1, 9), (3, 4), (3, 7)]
+
+
+def cartesian_root(v, a, b):
+    """The root of the Cartesian tree over v[a:b], built with a stack; of equal values the first is above."""
+    stack = []
+    for k in range(a, b):
+        while stack and v[stack[-1]] > v[k]:
+            stack.pop()
+        stack.append(k)
+    return stack[0]
 
 
 def test_windows_against_definition():
     rng = np.random.default_rng(0)
-    for top in (5, 1000):
-        v = rng.integers(0, top, 400).astype(np.uint64)
-        got = set(zip(*(x.tolist() for x in passages.compact_windows(v, np.array([0, 150]), np.array([150, 400]), 10)), strict=True))
-        want = set()
-        for lo, hi in ((0, 150), (150, 400)):
-            for c in range(lo, hi):
-                a, b = c, c + 1
-                while a > lo and v[a - 1] > v[c]:
-                    a -= 1
-                while b < hi and v[b] >= v[c]:
-                    b += 1
-                if b - a >= 10:
-                    want.add((a, c, b))
-        assert got == want
+    for top, n in ((5, 400), (1000, 400), (1000, 10), (1000, 9)):
+        v = rng.integers(0, top, n).astype(np.uint64) << np.uint64(24)
+        want = [cartesian_root(v, a, a + 10) for a in range(n - 9)]
+        assert passages.roots(v, 10).tolist() == want
+        first, last, root = passages.compact_windows(v, 10)
+        assert [r for a, b, r in zip(first, last, root, strict=True) for _ in range(b - a + 1)] == want
+
+
+def test_signatures_are_agreeing_roots(words):
+    """A text's signatures are those of the roots of all its runs, each alone; no run goes over into another text."""
+    texts = [words(120), words(50), words(49), "", words(60)]
+    least = passages.MIN_WORDS - passages.SHINGLE + 1
+    key, text = passages.signatures(passages.Words([t.encode() for t in texts]))
+    for k, t in enumerate(texts):
+        split = t.split()
+        runs = [" ".join(split[i : i + passages.MIN_WORDS]) for i in range(len(split) - passages.MIN_WORDS + 1)]
+        alone = {int(s) for run in runs for s in passages.signatures(passages.Words([run.encode()]))[0]}
+        assert set(key[text == k].tolist()) == alone
+        assert not runs or len(passages.signatures(passages.Words([runs[0].encode()]))[0]) == passages.BANDS
+    assert least == 46
 
 
 def test_signatures_recall_edited_passages(words, rng):
@@ -197,13 +214,60 @@ def test_hot_signatures_are_dealt_and_bridged(spark, monkeypatch):
     rows = [(7, k) for k in range(500)] + [(8, k) for k in range(0, 500, 100)] + [(9 + k, k) for k in range(50)]
     signed = spark.createDataFrame(rows, "signature long, node long")
     monkeypatch.setattr(passages, "HOT", 100)
-    pairs = [(r["a"], r["b"]) for r in passages.candidates(signed, signed.select("signature"), []).collect()]
+    pairs, members = passages.candidates(signed, signed.select("signature"), [])
+    assert {(r["signature"], r["node"]) for r in members.collect()} == {*rows[:505], *((9 + k, k) for k in range(0))} | {(8, k) for k in range(0, 500, 100)}
+    pairs = [(r["a"], r["b"]) for r in pairs.collect()]
     assert len(pairs) <= 2 * 500 + 10 and len(pairs) == len(set(pairs))
     assert set(brute_components(range(500), pairs).values()) == {0}
     firsts = {b for _, b in pairs}
     assert len(firsts) > passages.SALTS  # several groups, not one
 
 
+def test_families_of_edited_passages(spark, words, rng):
+    """Passages of 90 words with 1 to 4 edits each amid other words, against a comparison of all pairs: at least 99 of
+    100 of the documents with a partner are found, and stand in their class."""
+    texts, tokens = [], lambda t: passages.Words([t.encode()]).shingles(passages.SHINGLE)[0]
+    want = []
+    for _ in range(5):
+        base, first = words(90).split(), len(texts)
+        for _ in range(30):
+            v = list(base)
+            for _ in range(rng.randint(1, 4)):
+                v[rng.randrange(90)] = words(1)
+            texts.append(f"{words(rng.randint(10, 60))} {' '.join(v)} {words(rng.randint(10, 60))}")
+        own = {k: tokens(texts[k]) for k in range(first, len(texts))}
+        want += [(i, j) for i in own for j in range(first, i) if passages.common_passages(own[i], own[j])]
+    texts += [words(200) for _ in range(50)]
+    groups = brute_components(range(len(texts)), want)
+    members = {k for pair in want for k in pair}
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(got) <= members and len(got) >= 0.99 * len(members)
+    assert sum(groups[k] == got.get(k) for k in members) >= 0.99 * len(members)
+
+
+def test_rounds_find_partners_that_first_and_neighbour_are_not(spark, monkeypatch):
+    """One signature shared by 60 nodes; only those of equal remainder by 6 may be linked: all end in six classes."""
+    from pyspark.sql import functions as F
+
+    members = spark.createDataFrame([(1, k) for k in range(60)], "signature long, node long")
+    first = spark.createDataFrame([(k, k - 1) for k in range(1, 60)] + [(6, 0)], "a long, b long")
+    for split in (passages.SPLIT, 40):
+        monkeypatch.setattr(passages, "SPLIT", split)
+        links = passages.found_links(first, members, lambda some: some.filter((F.col("a") - F.col("b")) % 6 == 0))
+        pairs = [(r["a"], r["b"]) for r in links.collect()]
+        assert len(pairs) == len(set(pairs))
+        assert len(set(brute_components(range(60), pairs).values())) == 6
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_neighbours_across_batches(size):
+    rows = [(1, 5, 0), (1, 6, 1), (1, 2, 1), (2, 9, 0), (2, 3, 4), (2, 7, 0)]
+    batch = lambda part: pa.record_batch({n: pa.array([r[i] for r in part], pa.int64()) for i, n in enumerate(("key", "node", "class"))})
+    for width, want in ((1, {(6, 5), (9, 3), (7, 3)}), (2, {(6, 5), (5, 2), (9, 3), (7, 3)})):
+        got = [r for b in passages.neighbours((batch(rows[i : i + size]) for i in range(0, len(rows), size)), width) for r in b.to_pylist()]
+        assert {(r["a"], r["b"]) for r in got} == want
+
+
 def test_decontamination(spark, small, messy):
     bench = spark.createDataFrame([(1, "If John has 12 apples and gives 3 kg of them to Mary, how many does John keep?"), (2, "Too short"), (3, None), (4, "")], "item_id long, text string")
     same = "xx yy. If Peter has 7 apples and gives 5 kg of them to Anna, how many does {} keep? zz"
