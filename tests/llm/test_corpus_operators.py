@@ -249,7 +249,7 @@ def test_rounds_find_partners_that_first_and_neighbour_are_not(spark, monkeypatc
     """One signature shared by 60 nodes; only those of equal remainder by 6 may be linked: all end in six classes."""
     from pyspark.sql import functions as F
 
-    members = spark.createDataFrame([(1, k) for k in range(60)], "signature long, node long")
+    members = spark.createDataFrame([(s, k) for k in range(60) for s in (1, 2)], "signature long, node long")
     first = spark.createDataFrame([(k, k - 1) for k in range(1, 60)] + [(6, 0)], "a long, b long")
     for split in (passages.SPLIT, 40):
         monkeypatch.setattr(passages, "SPLIT", split)
@@ -261,9 +261,9 @@ def test_rounds_find_partners_that_first_and_neighbour_are_not(spark, monkeypatc
 
 @pytest.mark.parametrize("size", [1, 3, 100])
 def test_neighbours_across_batches(size):
-    rows = [(1, 5, 0), (1, 6, 1), (1, 2, 1), (2, 9, 0), (2, 3, 4), (2, 7, 0)]
+    rows = [(1, 5, 0), (1, 6, 1), (1, 2, 1), (2, 1, 0), (2, 9, 0), (2, 3, 4), (2, 7, 0), (2, 8, 0)]
     batch = lambda part: pa.record_batch({n: pa.array([r[i] for r in part], pa.int64()) for i, n in enumerate(("key", "node", "class"))})
-    for width, want in ((1, {(6, 5), (9, 3), (7, 3)}), (2, {(6, 5), (5, 2), (9, 3), (7, 3)})):
+    for width, want in ((1, {(6, 5), (5, 2), (9, 3), (7, 3), (8, 3)}), (2, {(6, 5), (5, 2), (9, 3), (3, 1), (7, 3), (8, 3)})):
         got = [r for b in passages.neighbours((batch(rows[i : i + size]) for i in range(0, len(rows), size)), width) for r in b.to_pylist()]
         assert {(r["a"], r["b"]) for r in got} == want
 
