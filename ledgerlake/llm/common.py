@@ -10,15 +10,18 @@ import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows, and bytes of them, that a side of a join may have to be broadcast; what is above either is shuffled instead.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: Characters of labelled texts of a class that a model is learnt from.
+SAMPLE_CHARS = 32_000_000
 #: Rows of text that Python handles at a time; a batch from Spark is sliced, so no list holds more.
 SLICE_ROWS = 256
 BATCH_ROWS = 1024
@@ -99,6 +102,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield b.slice(i, rows)
 
 
+def every(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever signs stand in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), where value is worked out once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -109,19 +117,22 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id, text and label of at most per_class rows of each class, never of the held-out fold.
 
     The rows with the least xxhash64(doc_id) are taken, so the sample depends on the data alone. A doc_id that is
-    labelled twice keeps its larger label; null ids and labels other than 0 and 1 are ignored. The ids (at most
-    2 * per_class) are broadcast, so the documents are scanned once and not shuffled.
+    labelled twice keeps its larger label; null ids and labels other than 0 and 1 are ignored. Of several rows of docs
+    with one doc_id the one with the least text counts. Texts of over a sixteenth of `chars` characters aren't learnt
+    from, and of the others those that come first with `chars` in all by class, so the sample is bounded in size too.
+    The ids (at most 2 * per_class) are broadcast, so the documents are scanned once and not shuffled.
     """
-    from functools import reduce
-
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(~held_out())
     once = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     parts = [once.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    return texts(docs).join(F.broadcast(reduce(DataFrame.unionByName, parts)), "doc_id").dropDuplicates(["doc_id"])
+    found = texts(docs).join(F.broadcast(reduce(DataFrame.unionByName, parts)), "doc_id").filter(F.length("text") <= chars // 16)
+    found = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    line = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("__sum", F.sum(F.length("text")).over(line)).filter(F.col("__sum") <= chars).select("doc_id", "text", "label")
 
 
 def collected(df: DataFrame, columns: list[str]) -> list[np.ndarray]:

@@ -5,7 +5,7 @@ numbers (any word with a digit; separators within numbers don't count), units af
 capitalised word after a word in small letters). Windows of WINDOW canonical words (an item with fewer words is one
 window) are hashed and joined to those of the benchmark; windows of placeholders alone are hashed with their values.
 Matches on one diagonal (the same shift between document and item) form a run. Every placeholder in a run is a slot: a run counts if its slots are consistent, that is, each value of
-the item always went to one value in the document; so a question with new numbers or names is caught, and a chance
+the item always went to one value in the document, and no two of them to the same; so a question with new numbers or names is caught, and a chance
 template isn't. Windows with under LITERALS words of their own say too little by themselves: adjacent ones count if
 together they have LITERALS, if they are a whole item of LITERALS words, or if the document has the item's own values;
 so shorter items count whole and with their values.
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, let, small_side
+from .common import checkpointed, every, let, small_side
 
 WINDOW, LITERALS = 8, 5
 #: The part of a diagonal that has all its windows with enough literal words.
@@ -92,8 +92,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     targets = checkpointed(benchmark_windows(benchmark, window))
     sizes = sorted((r["size"], r["plain"]) for r in targets.select("size", "plain").distinct().collect())  # at most twice `window` of them
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    shape = "doc_id long, text_key long, pos int, item_id long, item_pos int, slots array<struct<at:int,value:string>>, literals array<int>, item_words int, size int"
+    keyed = keyed.select("doc_id", F.md5("text").alias("text_key"), "text")
+    shape = "doc_id long, text_key string, pos int, item_id long, item_pos int, slots array<struct<at:int,value:string>>, literals array<int>, item_words int, size int"
     if not sizes:
         hits = docs.sparkSession.createDataFrame([], shape)
     else:
@@ -102,7 +102,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
         parts = []
         for size, plain in sizes:
             found = (bare if plain else template).select("doc_id", "text_key", F.posexplode(window_hashes(F.col("t"), size)).alias("pos", "hash"))
-            side = small_side(targets.filter((F.col("size") == size) & (F.col("plain") == plain)).drop("size", "plain"), BROADCAST_ROWS)
+            side = small_side(targets.filter((F.col("size") == size) & (F.col("plain") == plain)).drop("size", "plain"))
             parts.append(found.join(side, "hash").select("doc_id", "text_key", "pos", "item_id", "item_pos", "slots", "literals", "item_words", F.lit(size).alias("size")))
         hits = reduce(DataFrame.unionByName, parts)
     hits = checkpointed(hits.distinct())
@@ -128,7 +128,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
         asked = wanted.select("text_key", "at").distinct()
         read = wanted.join(values.join(asked, ["text_key", "at"], "left_semi"), ["text_key", "at"])
         each = read.groupBy(*run, "value").agg(F.min("doc_value").alias("least"), F.max("doc_value").alias("most"))
-        told = each.groupBy(*run).agg(F.bool_and(F.col("least") == F.col("most")).alias("consistent"), F.bool_and(F.col("least") == F.col("value")).alias("same"))
+        back = read.groupBy(*run, "doc_value").agg((F.min("value") == F.max("value")).alias("one"))
+        ways = each.select(*run, (F.col("least") == F.col("most")).alias("one"), (F.col("least") == F.col("value")).alias("own")).unionByName(back.select(*run, "one", F.lit(True).alias("own")))
+        told = ways.groupBy(*run).agg(F.bool_and("one").alias("consistent"), F.bool_and("own").alias("same"))
         same = reduce(lambda a, b: a & b, [F.col(f"runs.{c}").eqNullSafe(F.col(f"told.{c}")) for c in run])
         joined = runs.drop("exact").alias("runs").join(told.alias("told"), same, "left").filter(F.coalesce(F.col("consistent"), F.lit(True)))
         runs = joined.select("runs.*", F.coalesce(F.col("same"), F.lit(True)).alias("exact"))
@@ -142,7 +144,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """The rows of docs in whose text no item of the benchmark was found, with their columns."""
+    """The rows of docs in whose text no item of the benchmark was found, with their columns.
+
+    Null and empty texts, and rows without doc_id, stay, as do all rows if the benchmark is empty; repeated rows stay
+    or go together; very long texts are searched whole. Columns may have any names but `__text_key`.
+    """
     bad = checkpointed(matches(docs, benchmark, window, literals).select(F.col("text_key").alias("__text_key")).distinct())
-    marked = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return marked.join(small_side(bad), "__text_key", "left_anti").select(*docs.columns)
+    marked = docs.withColumn("__text_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return marked.join(small_side(bad), "__text_key", "left_anti").select(*every(docs))

@@ -159,7 +159,8 @@ def grown(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = TREES,
 def trained(features: DataFrame, labels: DataFrame, docs: DataFrame, per_class: int = SAMPLE) -> Forest:
     """A forest from at most per_class labelled rows of each class. features: what measured() returned."""
     sample = labelled_sample(docs.withColumn("text", F.lit("")), labels, "quality", per_class).select("doc_id", "label")
-    rows = features.select("doc_id", "features").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    # of several rows with one doc_id those with the least features count
+    rows = features.select("doc_id", "features").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("features").alias("features"))
     x, y = collected(rows, ["features", "label"])
     monotone = [MONOTONE.get(name, 0) for name in FEATURES]
     return grown(x.reshape(len(y), len(FEATURES)).astype(float), y.astype(float), monotone)

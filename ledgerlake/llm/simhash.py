@@ -4,8 +4,9 @@ A fingerprint is looked up only in the shards where it can have partners: the 64
 and a shard holds the fingerprints that agree on one choice of `bands - radius` bands. Two fingerprints within the
 radius differ in at most `radius` bands, so they meet in at least one shard: no link is lost. Each shard has a
 BK-tree (children keyed by their integer distance to the parent), and a look-up follows only the edges within the
-radius of the distance at hand. A whole corpus of trees has no bound on its size, so trees aren't broadcast: they
-are built where the shard's rows meet, many at once, as flat numpy arrays level by level.
+radius of the distance at hand, and only subtrees that aren't all linked to it already. A whole corpus of trees has no
+bound on its size, so trees aren't broadcast: they are built where the shard's rows meet, many at once, as flat numpy
+arrays level by level, and shards that grow too large are cut by further bands.
 
 Results grow with the documents: a shard yields one edge for each fingerprint that has a partner (to the root of
 its group there), and equal fingerprints are one node.
@@ -14,6 +15,7 @@ its group there), and equal fingerprints are one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, slices, small_side, texts
-from .passages import SAMPLED, candidates
+from .common import checkpointed, components, every, identified, slices, small_side, texts
+from .passages import ROUNDS, SAMPLED, candidates, found_links, streamed
 from .tokens import Words, mixed
 
 RADIUS, BANDS, SEED = 4, 6, 42
@@ -34,8 +36,9 @@ PIECE, SKETCH = 8, 12
 WIDTH = 8
 #: Pairs of look-up and node that are held at once.
 FRONTIER = 1 << 16
-#: Fingerprints after which a task works through its whole shards so far.
-SHARD_ROWS = 100_000
+#: Fingerprints after which a task works through its whole shards so far, those of a shard that is dealt anew in finer
+#: ones, and how often.
+SHARD_ROWS, LARGE, FINER = 100_000, 20_000, 3
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = SEED) -> int:
@@ -73,11 +76,13 @@ class Forest:
         first = np.concatenate(([True], shard[1:] != shard[:-1])) if n else np.zeros(0, bool)
         self.root = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, np.int64)
         here, at, keys, children = np.flatnonzero(~first), self.root[~first], [], []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # children and their parents, from the roots down
         while len(here):
             edge = at * 65 + np.bitwise_count(values[here] ^ values[at]).astype(np.int64)
             key, lead, group = np.unique(edge, return_index=True, return_inverse=True)
             keys.append(key)
             children.append(here[lead])
+            self.levels.append((here[lead], at[lead]))
             rest = np.ones(len(here), bool)
             rest[lead] = False
             here, at = here[rest], here[lead][group[rest]]
@@ -85,63 +90,111 @@ class Forest:
         order = np.argsort(keys, kind="stable")
         self.keys, self.children = keys[order], children[order]
 
-    def within(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (look-up, found) within the radius, some at a time."""
+    def within(self, radius: int, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs (look-up, found) within the radius, some at a time.
+
+        known: for each value its group so far, which the reader changes as pairs come. A look-up then leaves out the
+        subtrees that lie wholly in its own group, so values that are all close to each other cost little once they
+        are known to be linked.
+        """
         step = max(1, FRONTIER // 16)
-        stack = [(np.arange(i, min(i + step, len(self.values))), self.root[i : i + step]) for i in range(0, len(self.values), step)]
-        while stack:
-            who, node = stack.pop()
-            if len(who) > FRONTIER:
-                half = len(who) // 2
-                stack += [(who[:half], node[:half]), (who[half:], node[half:])]
-                continue
-            far = np.bitwise_count(self.values[who] ^ self.values[node]).astype(np.int64)
-            hit = (far <= radius) & (who != node)
-            if hit.any():
-                yield who[hit], node[hit]
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(far - radius, 0), "left")
-            high = np.searchsorted(self.keys, node * 65 + np.minimum(far + radius, 64), "right")
-            count = high - low
-            if count.any():
-                start = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-                stack.append((np.repeat(who, count), self.children[start + np.arange(len(start))]))
+        for i in range(0, len(self.values), step):
+            if known is not None:
+                low_group, high_group = known.copy(), known.copy()
+                for child, parent in reversed(self.levels):
+                    np.minimum.at(low_group, parent, low_group[child])
+                    np.maximum.at(high_group, parent, high_group[child])
+            stack = [(np.arange(i, min(i + step, len(self.values))), self.root[i : i + step])]
+            while stack:
+                who, node = stack.pop()
+                if known is not None:
+                    mixed_tree = (low_group[node] != high_group[node]) | (known[low_group[node]] != known[who])
+                    who, node = who[mixed_tree], node[mixed_tree]
+                if len(who) > FRONTIER:
+                    half = len(who) // 2
+                    stack += [(who[:half], node[:half]), (who[half:], node[half:])]
+                    continue
+                far = np.bitwise_count(self.values[who] ^ self.values[node]).astype(np.int64)
+                hit = (far <= radius) & (who != node)
+                if hit.any():
+                    yield who[hit], node[hit]
+                low = np.searchsorted(self.keys, node * 65 + np.maximum(far - radius, 0), "left")
+                high = np.searchsorted(self.keys, node * 65 + np.minimum(far + radius, 64), "right")
+                count = high - low
+                if count.any():
+                    start = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count)
+                    stack.append((np.repeat(who, count), self.children[start + np.arange(len(start))]))
 
     def groups(self, radius: int) -> np.ndarray:
         """For each value the least index of its connected group."""
         root = np.arange(len(self.values))
-        for a, b in self.within(radius):
+
+        def join(a: np.ndarray, b: np.ndarray) -> None:
             while True:
                 x, y = root[a], root[b]
                 apart = x != y
                 if not apart.any():
-                    break
+                    return
                 np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-                while (up := root[root]).tobytes() != root.tobytes():
-                    root = up
+                while ((up := root[root]) != root).any():
+                    root[:] = up
+
+        for child, parent in self.levels:  # a child is known to be near its parent without a look-up
+            near = np.bitwise_count(self.values[child] ^ self.values[parent]) <= radius
+            join(child[near], parent[near])
+        for a, b in self.within(radius, root):
+            join(a, b)
         return root
 
 
-def shard_edges(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, fp) sorted by shard to edges (a, b) from a fingerprint to the first of its group in the shard."""
+def shard_edges(batches: Iterator[pa.RecordBatch], radius: int, large: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, fp) sorted by shard to edges (a, b) from a fingerprint to the first of its group in the shard; of a
+    shard with over `large` fingerprints all are returned instead, each with a null b."""
 
     def edges(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         root = Forest(fp.view(np.uint64), shard).groups(radius)
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.record_batch({"a": pa.array(fp[linked]), "b": pa.array(fp[root[linked]])})
 
-    shards, fps, held = [], [], 0
+    def crowd(fp: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"a": pa.array(fp), "b": pa.nulls(len(fp), pa.int64())})
+
+    def whole(s: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole shards, one after the other."""
+        if large is not None and len(s):
+            size = np.diff(np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))))
+            many = np.repeat(size > large, size)
+            if many.any():
+                yield crowd(f[many])
+                s, f = s[~many], f[~many]
+        if len(s):
+            yield edges(s, f)
+
+    shards, fps, held, crowded = [], [], 0, None
     for b in batches:
-        shards.append(b.column("shard").to_numpy(zero_copy_only=False))
-        fps.append(b.column("fp").to_numpy(zero_copy_only=False))
-        held += b.num_rows
+        s, f = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fp"))
+        if crowded is not None:  # the shard that was found to be crowded goes on
+            other = np.flatnonzero(s != crowded)
+            cut = int(other[0]) if len(other) else len(s)
+            yield crowd(f[:cut])
+            s, f = s[cut:], f[cut:]
+            if not len(s):
+                continue
+            crowded = None
+        shards.append(s)
+        fps.append(f)
+        held += len(s)
         if held >= SHARD_ROWS:
             s, f = np.concatenate(shards), np.concatenate(fps)
-            cut = int(np.searchsorted(s, s[-1], "left"))  # the last shard may go on in the next batch
-            if cut:
-                yield edges(s[:cut], f[:cut])
-            shards, fps, held = [s[cut:]], [f[cut:]], len(s) - cut
+            other = np.flatnonzero(s != s[-1])
+            last = int(other[-1]) + 1 if len(other) else 0  # the last shard may go on in the next batch
+            yield from whole(s[:last], f[:last])
+            shards, fps, held = [s[last:]], [f[last:]], len(s) - last
+            if large is not None and held > large:
+                yield crowd(fps[0])
+                crowded, shards, fps, held = s[-1], [], [], 0
     if held:
-        yield edges(np.concatenate(shards), np.concatenate(fps))
+        yield from whole(np.concatenate(shards), np.concatenate(fps))
 
 
 def shard_keys(fp: F.Column, radius: int, bands: int) -> F.Column:
@@ -160,14 +213,26 @@ def shard_keys(fp: F.Column, radius: int, bands: int) -> F.Column:
 def link(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """fp and component_fp, an unsigned-agnostic name of the group (its least signed fingerprint), for the distinct
     values of the column fp that have a partner within the radius. Shards may collide in a hash: that only adds
-    look-ups, as distances are checked."""
+    look-ups, as distances are checked.
+
+    The fingerprints of a shard with over LARGE of them are dealt anew with one band more, so with another band to
+    agree in and smaller shards, FINER times at most; partners meet there as well. What is still together then agrees
+    in over half its bits, and its look-ups leave out what is known to be linked.
+    """
     if radius == 0:
         return fps.select("fp", F.col("fp").alias("component_fp")).limit(0)
-    shards = fps.select("fp").distinct().select(F.explode(shard_keys(F.col("fp"), radius, bands)).alias("shard"), "fp").distinct()
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shards.repartition(n, "shard").sortWithinPartitions("shard", "fp")
-    found = dealt.mapInArrow(lambda it: shard_edges(it, radius), "a long, b long")
-    return components(found).select(F.col("node").alias("fp"), F.col("component").alias("component_fp"))
+    left, parts = fps.select("fp").distinct(), []
+    for finer in range(FINER + 1):
+        large = LARGE if finer < FINER else None
+        shards = left.select(F.explode(shard_keys(F.col("fp"), radius, bands + finer)).alias("shard"), "fp").distinct()
+        dealt = shards.repartition(n, "shard").sortWithinPartitions("shard", "fp")
+        found = checkpointed(dealt.mapInArrow(lambda it, large=large: shard_edges(it, radius, large), "a long, b long"))
+        parts.append(found.filter("b is not null"))
+        left = checkpointed(found.filter("b is null").select(F.col("a").alias("fp")).distinct())
+        if left.isEmpty():
+            break
+    return components(reduce(DataFrame.unionByName, parts)).select(F.col("node").alias("fp"), F.col("component").alias("component_fp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
@@ -255,15 +320,16 @@ def distinct(words: Words, shingle: int, n: int) -> pa.Array:
 
 
 def similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, a_text, b_text), sorted by b, to the pairs (a, b) whose sets of shingles are similar enough."""
-    held: tuple[int, np.ndarray] | None = None
+    """Rows as passages.streamed() sends them to the pairs (a, b) whose sets of shingles are similar enough."""
     shingled = lambda t: np.unique(Words([t.encode().lower()]).shingles(shingle)[0])
+    y = np.zeros(0, np.uint64)
     for batch in slices(batches):
         out = []
-        for a, b, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if held is None or held[0] != b:
-                held = (b, shingled(right))
-            x, y = shingled(left), held[1]
+        for a, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if a is None:
+                y = shingled(text)
+                continue
+            x = shingled(text)
             if min(len(x), len(y)) >= similarity * max(len(x), len(y), 1):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both):
@@ -279,45 +345,50 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     fingerprints of whole texts that are similar by 0.8 mostly differ in 6 to 14 bits, so the radius alone would
     miss them. SKETCH pieces of a text are compared (a min-hash sample; texts with fewer pieces add as many
     shingles). Texts with an equal piece are sorted by the pieces before it in their samples, and a text meets the
-    first and the WIDTH ones before it there, so candidates stay in proportion to texts. This isn't exact: in a
-    large group of weaker copies a pair near the limit can be missed in all its orders.
-    Equal texts are one node. Null texts are empty; texts without words are one group.
+    first and the WIDTH ones before it there, so candidates stay in proportion to texts; groups that aren't one class
+    then go into rounds (passages.found_links). This isn't exact: a pair is missed if its
+    samples have no piece in common, or if all rounds put it apart.
+    Equal texts are one node. Null texts are empty; texts without words are one group. Very long texts are used whole,
+    repeated rows leave one of them, rows without doc_id come last, and an empty table stays empty. Columns may have
+    any names but those that begin with two underscores.
     """
-    ident = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    plain = texts(docs)
+    mark, known_nodes = identified(plain, first=F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")), n=F.count(F.lit(1)))
+    known = mark(plain, "text", "node")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts_here = b.column(2).to_pylist()
+            texts_here = b.column(1).to_pylist()
             words = Words([t.encode().lower() for t in texts_here])
             lists, ahead = sketches(words, shingle, b.num_rows)
             prints, sizes = pa.array([fingerprint(t, shingle) for t in texts_here], pa.int64()), distinct(words, shingle, b.num_rows)
-            yield pa.record_batch([b.column(0), b.column(1), prints, lists, ahead, sizes], names=["doc_id", "node", "fp", "pieces", "ahead", "size"])
+            yield pa.record_batch([b.column(0), prints, lists, ahead, sizes], names=["node", "fp", "pieces", "ahead", "size"])
 
-    known = texts(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
-    rows = checkpointed(known.mapInArrow(read, "doc_id long, node long, fp long, pieces array<long>, ahead array<long>, size int"))
-    each = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", "pieces", "ahead")))
-    each = checkpointed(each)
+    # copies are read once: the row with the least doc_id stands for its text
+    copied = small_side(checkpointed(known_nodes.filter("n > 1").select("node", F.col("first.doc_id").alias("least"))).withColumn("copied", F.lit(True)))
+    once = known.join(copied, "node", "left").filter(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
+    each = checkpointed(once.mapInArrow(read, "node long, fp long, pieces array<long>, ahead array<long>, size int").dropDuplicates(["node"]))
     # whole texts, by BK-trees: a node stands for its fingerprint's group
     groups = link(each, radius, bands)
     near = each.select("node", "fp").join(groups, "fp", "left").withColumn("group", F.coalesce("component_fp", "fp"))
     by_print = near.join(near.groupBy("group").agg(F.min("node").alias("b")), "group").filter("node <> b").select(F.col("node").alias("a"), "b")
     # pieces, verified on the texts
     signed = each.select(F.explode(F.arrays_zip("pieces", "ahead")).alias("s"), "node").select(F.col("s.pieces").alias("signature"), F.col("s.ahead").alias("ahead"), "node")
-    met = candidates(signed, signed.filter(F.pmod("node", F.lit(SAMPLED)) == 0), ["ahead"], WIDTH, F.shiftright("ahead", 42))
+    met, members = candidates(signed, signed.filter(F.pmod("node", F.lit(SAMPLED)) == 0), ["ahead"], WIDTH, F.shiftright("ahead", 42))
     sizes = each.select("node", "size")
-    for s in "ab":
-        met = met.join(small_side(sizes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"))), s)
-    alike = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")
-    pairs = checkpointed(met.filter(alike).select("a", "b"))
-    wanted = small_side(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    own = known.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-    with_b = with_a.join(own.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-    by_piece = with_b.mapInArrow(lambda it: similar(it, shingle, similarity), "a long, b long")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets of shingles are similar enough; sizes tell most of the others."""
+        for s in "ab":
+            pairs = pairs.join(small_side(sizes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"))), s)
+        some = checkpointed(pairs.filter(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")).select("a", "b"))
+        return streamed(some, known.select("node", "text"), sizes, lambda it: similar(it, shingle, similarity), "a long, b long")
+
+    by_piece = found_links(met, members, alike, ROUNDS)
     classes = components(by_print.unionByName(by_piece))
-    placed = each.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = placed.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("n").alias("rows")).filter("rows > 1")
+    placed = known_nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = placed.groupBy("component").agg(F.min(F.struct("first.nameless", "first.doc_id", "node")).alias("keeper"), F.sum("n").alias("rows")).filter("rows > 1")
     crowded = checkpointed(placed.join(firsts, "component").select(F.col("node").alias("__node"), F.col("keeper.doc_id").alias("__keep"), (F.col("keeper.node") == F.col("node")).alias("__first")))
-    joined = docs.withColumn("__node", ident).join(small_side(crowded), "__node", "left")
+    joined = mark(docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))), "__text", "__node").drop("__text").join(small_side(crowded), "__node", "left")
     kept = joined.filter(F.col("__first") & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep"))).dropDuplicates(["__node"])
-    return joined.filter(F.col("__first").isNull()).select(*docs.columns).unionByName(kept.select(*docs.columns))
+    return joined.filter(F.col("__first").isNull()).select(*every(docs)).unionByName(kept.select(*every(docs)))

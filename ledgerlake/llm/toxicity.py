@@ -1,18 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Terms are words and the first PREFIXES bytes of longer words. Those whose presence marks label 1 in a bounded,
-documented sample of labelled rows (chi-square of at least CHI, at least PURE of the presence, rate by rate, in
-label 1; the TERMS strongest) are kept; their document frequencies are counted over all documents. A text is then the vector of its kept terms, (1 + log tf) * idf, and
-of REST for whatever else it says, of length 1: one chance term leaves a text nearest to the plain ones. The sample's vectors are indexed by term in blocks of BLOCK examples, each block of a term with its
-largest weight: the blocks' bounds are summed for a query, and blocks are scored from the highest bound on until no
-bound reaches the K-th best score, so the K nearest are exact (ties: the smaller doc_id). Each neighbour votes with
-1 / (distance + SOFT), weighted so that the sample's classes count as they do among all labels. A text without
-kept terms is at distance 0 from every such example, and all of these vote.
+The terms are all words of a bounded, documented sample of labelled rows; their document frequencies are counted over
+all documents. A whole text is the vector of (1 + log tf) * idf * (PLAIN + mark) over its words, of length 1. `mark`
+says how strongly the presence of a word marks a label in the sample: the phi coefficient, less what chance makes of
+it (CHANCE off the chi-square); a word without one keeps the weight PLAIN, and a word that no example has counts in the
+length of the text, with the largest idf. The sample's vectors are indexed by term in blocks of BLOCK examples that
+resemble each other, each block of a term with its largest weight. For a text the blocks' bounds are summed; the
+FIRST blocks with the highest bounds are scored, and then all whose bound reaches the K-th best score so far, so the K
+nearest are exact (ties: the smaller doc_id). Each neighbour votes with 1 / (distance + SOFT), weighted so that the
+sample's classes count as they do among all labels, and the score is the share of label 1 in the votes.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,212 +26,237 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, held_out, labelled_sample, slices, texts
 
-SAMPLE, TERMS, CHI, PURE, BLOCK, K, SOFT, REST = 2500, 512, 40.0, 0.95, 64, 9, 0.05, 3.0
-PREFIXES = (4, 5, 6, 7, 8)
+SAMPLE, BLOCK, FIRST, K, SOFT, PLAIN, CHANCE = 2500, 64, 2, 15, 0.05, 0.02, 10.0
+#: Texts that are looked up at once, and (term, block) cells and postings that are held for them.
+QUERIES, CELLS, POSTINGS = 64, 1 << 19, 1 << 20
 #: A-Z to small letters; ASCII signs other than letters and digits to spaces; bytes of other letters stay.
 FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
 
-def terms(text: str) -> list[bytes]:
-    """The words, and for each word a term that ends in * for each of its proper prefixes of PREFIXES bytes."""
-    words = text.encode().translate(FOLD).split()
-    return words + [w[:k] + b"*" for w in words for k in PREFIXES if len(w) > k]
+def terms(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(FOLD).split()
 
 
-def telling(sample: DataFrame, chi: float = CHI, most: int = TERMS, pure: float = PURE) -> list[bytes]:
-    """The terms that mark label 1, those with the largest chi-square first, ties by term. sample: label, terms
-    (each once); equal rows count once. Terms are counted where they are; at most `most` come to the driver."""
-    once = sample.select("label", "terms", F.xxhash64("terms").alias("ident")).dropDuplicates(["ident"])
-    n = dict(once.groupBy("label").count().collect())
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n0 or not n1:
-        return []
-    df = once.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).cast("double").alias("a"), F.count_if(F.col("label") == 0).cast("double").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    cross = a * (n0 - b) - b * (n1 - a)
-    rest = n1 + n0 - a - b
-    value = F.when(rest > 0, cross * cross * (n1 + n0) / ((a + b) * rest * float(n1 * n0))).otherwise(0.0)
-    kept = df.withColumn("chi", value).filter((F.col("chi") >= chi) & (a / n1 >= pure * (a / n1 + b / n0)))
-    return [bytes(r["term"]) for r in kept.orderBy(F.col("chi").desc(), "term").limit(most).select("term").collect()]
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def marks(n_one: np.ndarray, n_zero: np.ndarray, ones: int, zeros: int) -> np.ndarray:
+    """How strongly terms mark a label, 0 to 1, from the examples of either label that have them."""
+    n = ones + zeros
+    rest = n - n_one - n_zero
+    cross = n_one * (zeros - n_zero) - n_zero * (ones - n_one)
+    chi = np.divide(cross * cross * n, (n_one + n_zero) * rest * ones * zeros, out=np.zeros(len(rest)), where=(rest > 0) & (n_one + n_zero > 0) & (ones * zeros > 0))
+    return np.sqrt(np.maximum(chi - CHANCE, 0) / max(1, n))
 
 
-@dataclass
 class Index:
-    """Unit vectors of examples; postings by (term, block) and the largest weight in each."""
-
-    n: int
-    pointers: np.ndarray  # (terms, blocks + 1): where the postings of a term in a block begin
-    examples: np.ndarray
-    weights: np.ndarray
-    bounds: np.ndarray  # (terms, blocks)
-
-    @classmethod
-    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], width: int) -> Index:
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
-        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
-        order = np.lexsort((row, term))
-        row, term, weight = row[order], term[order], weight[order]
-        cell = term * blocks + row // BLOCK
-        bounds = np.zeros(width * blocks)
-        np.maximum.at(bounds, cell, weight)
-        pointers = np.searchsorted(cell, np.arange(width * blocks + 1))
-        return cls(len(vectors), pointers, row, weight, bounds.reshape(width, blocks))
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with a common term, the best first, ties by example."""
-        blocks = self.bounds.shape[1]
-        bound = weight @ self.bounds[term]
-        who, score = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(score) >= k and bound[b] < score[-1] - 1e-9:
-                break
-            own = np.zeros(min(BLOCK, self.n - b * BLOCK))
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                lo, hi = self.pointers[t * blocks + b], self.pointers[t * blocks + b + 1]
-                own[self.examples[lo:hi] - b * BLOCK] += w * self.weights[lo:hi]
-            some = np.flatnonzero(own > 0)
-            who, score = np.concatenate((who, some + b * BLOCK)), np.concatenate((score, own[some]))
-            best = np.lexsort((who, -np.round(score, 12)))[:k]
-            who, score = who[best], score[best]
-        return who, score
+    """Postings by term and block of examples, with the largest weight of each such cell."""
+
+    def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, width: int):
+        """Example k has term[first[k]:first[k + 1]]; terms are below width."""
+        self.n = len(first) - 1
+        self.blocks = max(1, -(-self.n // BLOCK))
+        example = np.repeat(np.arange(self.n), np.diff(first))
+        frequent = np.bincount(term, minlength=width)
+        # neighbours in the order have the same most frequent term (most often: the language) and the same heaviest one
+        lead = [np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)]
+        for k, value in enumerate((frequent[term], weight)):
+            order = np.lexsort((value, example))
+            last = np.flatnonzero(np.append(example[order][1:] != example[order][:-1], True)) if len(order) else order
+            lead[k][example[order][last]] = term[order][last]
+        self.example_at = np.lexsort((lead[1], lead[0]))
+        place = np.empty(self.n, np.int64)
+        place[self.example_at] = np.arange(self.n)
+        at = place[example]
+        order = np.lexsort((at, term))
+        self.at, self.weight, term = at[order], weight[order], term[order]
+        cell = term * self.blocks + self.at // BLOCK
+        self.cell_start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+        self.cell_block = cell[self.cell_start] % self.blocks
+        self.cell_max = np.maximum.reduceat(self.weight, self.cell_start) if len(cell) else np.zeros(0)
+        self.of_term = np.searchsorted(cell[self.cell_start] // self.blocks, np.arange(width + 1))
+        self.cell_start = np.append(self.cell_start, len(cell))
+
+    def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n queries (rows: query, term, weight; sorted by query) its k nearest examples with a common term
+        and their cosines, the best first, ties by example."""
+        size = self.of_term[term + 1] - self.of_term[term]
+        cells, row = ranges(self.of_term[term], size), np.repeat(np.arange(len(term)), size)
+        pair = query[row] * self.blocks + self.cell_block[cells]
+        bound = np.bincount(pair, weight[row] * self.cell_max[cells], n * self.blocks).reshape(n, self.blocks)
+        ranked = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+        chosen = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(chosen, ranked, True, axis=1)
+        score = np.zeros((n, self.blocks * BLOCK))
+        self.add(score, chosen, cells, row, pair, query, weight)
+        kth = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.zeros(n)
+        self.add(score, (bound >= kth[:, None] - 1e-9) & (bound > 0) & ~chosen, cells, row, pair, query, weight)
+        out = []
+        for own in score[:, : self.n]:
+            some = np.flatnonzero(own >= np.partition(own, -k)[-k] - 1e-9) if len(own) > k else np.arange(len(own))
+            some = some[own[some] > 0]
+            example = self.example_at[some]
+            best = np.lexsort((example, -np.round(own[some], 9)))[:k]
+            out.append((example[best], own[some][best]))
+        return out
+
+    def add(self, score: np.ndarray, chosen: np.ndarray, cells: np.ndarray, row: np.ndarray, pair: np.ndarray, query: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the products of the cells in the chosen (query, block) pairs to score (queries x places)."""
+        some = np.flatnonzero(chosen.ravel()[pair])
+        if not len(some):
+            return
+        cells, row = cells[some], row[some]
+        size = self.cell_start[cells + 1] - self.cell_start[cells]
+        part = np.cumsum(size) // POSTINGS
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True):
+            own, n = row[a:b], size[a:b]
+            posting = ranges(self.cell_start[cells[a:b]], n)
+            low, high = int(query[own[0]]), int(query[own[-1]]) + 1
+            flat = np.repeat((query[own] - low) * score.shape[1], n) + self.at[posting]
+            score[low:high] += np.bincount(flat, np.repeat(weight[own], n) * self.weight[posting], (high - low) * score.shape[1]).reshape(high - low, -1)
+
+
+_BUILT: dict[str, tuple[Index, dict[bytes, int]]] = {}
 
 
 @dataclass
 class Voter:
-    index: Index
-    idf: np.ndarray
+    """What a worker needs to score texts: terms and their weights, the examples' vectors and labels."""
+
+    words: list[bytes]
+    heft: np.ndarray  # idf * (PLAIN + mark) of each term
+    rest: float  # of words that aren't terms
+    first: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
     y: np.ndarray
     votes: np.ndarray  # of each example's class
     ids: np.ndarray
     share: float
+    name: str
 
-    def vector(self, ids: list[int], tf: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        term = np.array([*ids, len(self.idf)], np.int64)  # the last one stands for the rest
-        w = np.append((1 + np.log(np.array(tf, float))) * self.idf[term[:-1]], REST)
-        return term, w / np.sqrt((w * w).sum())
+    def prepared(self) -> tuple[Index, dict[bytes, int]]:
+        """Index and terms, made once in a worker."""
+        if self.name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.name] = (Index(self.first, self.term, self.weight, len(self.words)), {w: i for i, w in enumerate(self.words)})
+        return _BUILT[self.name]
 
-    def score(self, ids: list[int], tf: list[int]) -> tuple[float, list[int]]:
-        """The share of weighted votes for label 1, and the doc_ids of the first three voters."""
+    def scores(self, batch: list[str | None]) -> tuple[list[float], list[list[int]]]:
+        """The share of weighted votes for label 1, and the doc_ids of the first three voters, of each text."""
         if len(np.unique(self.y)) < 2:
-            return self.share, []
-        if not ids and len(self.blank):
-            who, cosine = self.blank, np.ones(len(self.blank))
-        else:
-            who, cosine = self.index.nearest(*self.vector(ids, tf), K)
-        vote = self.votes[who] / (1 - np.minimum(cosine, 1) + SOFT)
-        return float((vote * self.y[who]).sum() / vote.sum()), self.ids[who[:3]].tolist()
-
-    def __post_init__(self) -> None:
-        filled = self.index.examples[: self.index.pointers[len(self.idf) * self.index.bounds.shape[1]]]
-        self.blank = np.setdiff1d(np.arange(len(self.y)), filled)
-
-
-class Terms:
-    """Counts the kept terms of a text: their places in the list, ascending, and how often each occurs."""
-
-    def __init__(self, kept: list[bytes]):
-        self.place = {w: i for i, w in enumerate(kept)}
-        self.stems: dict[bytes, list[tuple[bytes, int]]] = {}  # by their first bytes, so that most words are looked up once
-        for w, i in self.place.items():
-            if w.endswith(b"*"):
-                self.stems.setdefault(w[: PREFIXES[0]], []).append((w[:-1], i))
-
-    def count(self, text: str) -> tuple[list[int], list[int]]:
-        words = text.encode().translate(FOLD).split()
-        place, stems = self.place, self.stems
-        found = Counter(place[w] for w in words if w in place)
-        if stems:
-            head = PREFIXES[0]
-            found.update(i for w in words if w[:head] in stems for stem, i in stems[w[:head]] if len(w) > len(stem) and w.startswith(stem))
-        rows = sorted(found.items())
-        return [t for t, _ in rows], [n for _, n in rows]
-
-
-def counted(docs: DataFrame, kept: list[bytes]) -> DataFrame:
-    """doc_id, terms and tfs (arrays) for each row of docs: how often the kept terms occur in its whole text."""
-    counter = Terms(kept)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int32())
-        for b in slices(batches):
-            rows = [counter.count(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([t for t, _ in rows], kind), pa.array([n for _, n in rows], kind)], names=["doc_id", "terms", "tfs"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, terms array<int>, tfs array<int>")
+            return [self.share] * len(batch), [[] for _ in batch]
+        index, place = self.prepared()
+        shares, evidence = [], []
+        vectors: list[tuple[np.ndarray, np.ndarray]] = []
+        cells = 0
+
+        def flush() -> None:
+            nonlocal cells
+            query = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+            term, weight = (np.concatenate([np.zeros(0, kind), *(v[k] for v in vectors)]) for k, kind in enumerate((np.int64, float)))
+            for who, cosine in index.nearest(query, term, weight, len(vectors), K):
+                vote = self.votes[who] / (1 - np.minimum(cosine, 1) + SOFT)
+                shares.append(float((vote * self.y[who]).sum() / vote.sum()) if len(who) else self.share)
+                evidence.append(self.ids[who[:3]].tolist())
+            vectors.clear()
+            cells = 0
+
+        for text in batch:
+            term, weight = vector(terms(text), place, self.heft, self.rest)
+            own = int((index.of_term[term + 1] - index.of_term[term]).sum())
+            if vectors and (len(vectors) == QUERIES or cells + own > CELLS):
+                flush()
+            vectors.append((term, weight))
+            cells += own
+        if vectors:
+            flush()
+        return shares, evidence
+
+
+def vector(words: list[bytes], place: dict[bytes, int], heft: np.ndarray, rest: float) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a text, ascending, and their weights in its vector of length 1."""
+    count = Counter(words)
+    known = sorted((place[w], n) for w, n in count.items() if w in place)
+    others = np.array([n for w, n in count.items() if w not in place], float)
+    term = np.array([t for t, _ in known], np.int64)
+    weight = (1 + np.log(np.array([n for _, n in known], float))) * heft[term]
+    length = np.sqrt((weight * weight).sum() + (((1 + np.log(others)) * rest) ** 2).sum())
+    return term, weight / length if length else weight
+
+
+def frequencies(docs: DataFrame, place: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """The documents, and how many of them have each term; a task sends a row for each term that it met."""
 
-
-def voter(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE) -> tuple[Voter, Terms, DataFrame]:
-    """The index over at most per_class labelled rows of each class, its terms, and the checkpointed counts of all docs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, n = np.zeros(len(place) + 1, np.int64), 0
         for b in slices(batches):
-            once = [sorted(set(terms(t))) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(once, pa.list_(pa.binary()))], names=["doc_id", "label", "terms"])
-
-    chosen = labelled_sample(docs, labels, label, per_class).select("doc_id", "text", "label")
-    sample = checkpointed(chosen.mapInArrow(run, "doc_id long, label int, terms array<binary>"))
-    got = sorted(sample.select("doc_id", "label").collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["label"] for r in got], float)
-    kept = telling(sample)
-    found = checkpointed(counted(docs, kept))
+            for text in b.column(0).to_pylist():
+                met[[place[w] for w in set(terms(text)) if w in place]] += 1
+                n += 1
+        met[-1] = n
+        some = np.flatnonzero(met)
+        yield pa.record_batch({"term": pa.array(some, pa.int64()), "n": pa.array(met[some])})
+
+    counted = texts(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(place) + 1, np.int64)
+    for r in counted.collect():  # at most a row for each term of the sample
+        out[r["term"]] = r["n"]
+    return int(out[-1]), out[:-1]
+
+
+def voter(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE) -> Voter:
+    """The index over at most per_class labelled rows of each class."""
+    got = sorted(checkpointed(labelled_sample(docs, labels, label, per_class)).collect(), key=lambda r: r["doc_id"])
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out()).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("ones")).first()
     share = float((known["ones"] + 0.5) / (known["n"] + 2))
-    n = found.count()
-    df = dict(found.select(F.explode("terms").alias("term")).groupBy("term").count().collect())  # at most TERMS rows
-    idf = np.array([math.log(1 + n / (1 + df.get(t, 0))) for t in range(len(kept))])
-    ids = np.array([r["doc_id"] for r in got], np.int64)
-    near = found.join(F.broadcast(sample.select("doc_id")), "doc_id").dropDuplicates(["doc_id"]).collect() if len(ids) else []
-    own = {r["doc_id"]: (r["terms"], r["tfs"]) for r in near}
+    y = np.array([r["label"] for r in got], float)
+    own = [terms(r["text"]) for r in got]
+    words = sorted({w for t in own for w in t})
+    place = {w: i for i, w in enumerate(words)}
+    n, df = frequencies(docs, place)
+    have = [np.array([place[w] for w in set(t)], np.int64) for t in own]
+    by_label = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(h for h, v in zip(have, y, strict=True) if v == k)]), minlength=len(words)).astype(float) for k in (1, 0)]
+    mark = marks(*by_label, int(y.sum()), int(len(y) - y.sum()))
+    heft = np.log(1 + n / (1 + df)) * (PLAIN + mark)
+    rest = float(np.log(1 + n)) * PLAIN
+    vectors = [vector(t, place, heft, rest) for t in own]
+    first = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors]))).astype(np.int64)
+    term, weight = (np.concatenate([np.zeros(0, kind), *(v[k] for v in vectors)]) for k, kind in enumerate((np.int64, float)))
     classes = np.array([1 - share, share]) / np.maximum([len(y) - y.sum(), y.sum()], 1) * max(1, len(y))
-    maker = Voter(Index.of([], len(kept) + 1), idf, np.zeros(0), np.zeros(0), ids, share)
-    index = Index.of([maker.vector(*own[i]) for i in ids.tolist()], len(kept) + 1)
-    return Voter(index, idf, y, classes[y.astype(int)], ids, share), Terms(kept), found
+    return Voter(words, heft, rest, first, term, weight, y, classes[y.astype(int)], np.array([r["doc_id"] for r in got], np.int64), share, uuid.uuid4().hex)
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the nearest examples' doc_ids) for each row of docs.
 
-    Null and empty texts have no terms; like any text without kept terms they get the votes of the examples
-    without. Without labelled rows of both classes the score is the smoothed share of label 1 (0.25 for no labels). A null doc_id is
-    scored and not held out; repeated rows get equal scores.
+    A text that shares no word with any example (null and empty ones among them) has no neighbour, and its score is the
+    share of label 1 among all labels; so is every score without labelled rows of both classes (0.25 for no labels). A
+    null doc_id is scored and not held out; repeated rows get equal scores. Very long texts are scored whole.
     """
-    judge, _, found = voter(docs, labels, label, per_class)
+    judge = voter(docs, labels, label, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[float, list[int]]] = {}
-        for b in slices(batches, 4096):
-            out = []
-            for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                key = (*t, -1, *n)
-                if key not in known:
-                    if len(known) >= 50_000:
-                        known.clear()
-                    known[key] = judge.score(t, n)
-                out.append(known[key])
-            yield pa.record_batch([b.column(0), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
-
-    out = found.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+        for b in slices(batches):
+            score, evidence = judge.scores(b.column(1).to_pylist())
+            yield pa.record_batch([b.column(0), pa.array(score, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+
+    out = texts(docs).mapInArrow(run, "doc_id long, score double, evidence array<long>")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "evidence")
 
 
 def cleaned(docs: DataFrame, labels: DataFrame, label: str = "toxic", least: float = 0.5) -> DataFrame:
-    """The rows of docs that score under `least`, with their columns.
+    """The rows of docs that score under `least`, with their columns; cases are those of scored().
 
-    The score is a function of the terms' counts, so they are counted again in the row and no text is shuffled.
+    The score is a function of the text, so it is worked out in the row and no text is shuffled.
     """
-    judge, counter, _ = voter(docs, labels, label)
+    judge = voter(docs, labels, label)
 
     @F.pandas_udf("double")
     def toxic(part: pd.Series) -> pd.Series:
-        known: dict[tuple, float] = {}
-        out = []
-        for text in part:
-            t, n = counter.count(text or "")
-            key = (*t, -1, *n)
-            if key not in known:
-                known[key] = judge.score(t, n)[0]
-            out.append(known[key])
-        return pd.Series(out, dtype="float64")
-
-    return docs.filter(toxic(F.col("text")) < least)
+        return pd.Series(judge.scores(part.tolist())[0], dtype="float64")
+
+    return docs.filter(toxic(F.col("text").cast("string")) < least)

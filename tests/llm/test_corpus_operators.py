@@ -246,17 +246,17 @@ def test_families_of_edited_passages(spark, words, rng):
 
 
 def test_rounds_find_partners_that_first_and_neighbour_are_not(spark, monkeypatch):
-    """One signature shared by 60 nodes; only those of equal remainder by 6 may be linked: all end in six classes."""
+    """Signatures shared by 18 nodes, dealt over several tasks; only those of equal remainder by 2 may be linked: all end
+    in two classes."""
     from pyspark.sql import functions as F
 
-    members = spark.createDataFrame([(s, k) for k in range(60) for s in (1, 2)], "signature long, node long")
-    first = spark.createDataFrame([(k, k - 1) for k in range(1, 60)] + [(6, 0)], "a long, b long")
-    for split in (passages.SPLIT, 40):
-        monkeypatch.setattr(passages, "SPLIT", split)
-        links = passages.found_links(first, members, lambda some: some.filter((F.col("a") - F.col("b")) % 6 == 0))
-        pairs = [(r["a"], r["b"]) for r in links.collect()]
-        assert len(pairs) == len(set(pairs))
-        assert len(set(brute_components(range(60), pairs).values())) == 6
+    members = spark.createDataFrame([(s, k) for k in range(18) for s in (1, 2)], "signature long, node long")
+    first = spark.createDataFrame([(k, k - 1) for k in range(1, 18)] + [(6, 0)], "a long, b long")
+    monkeypatch.setattr(passages, "SPLIT", 12)
+    links = passages.found_links(first, members, lambda some: some.filter((F.col("a") - F.col("b")) % 2 == 0))
+    pairs = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(pairs) == len(set(pairs))
+    assert len(set(brute_components(range(18), pairs).values())) == 2
 
 
 @pytest.mark.parametrize("size", [1, 3, 100])
@@ -268,6 +268,96 @@ def test_neighbours_across_batches(size):
         assert {(r["a"], r["b"]) for r in got} == want
 
 
+def brute_matches(docs, items, words_of):
+    """(doc, item, start, item_start, n_words, n_windows, exact) by the definition: docs and items are dicts of text."""
+    size, least, windows = decontamination.WINDOW, decontamination.LITERALS, {}
+    own = {k: words_of(t) for k, t in items.items()}
+    for k, (template, value) in own.items():
+        n = min(size, len(template))
+        for at in range(len(template) - n + 1) if n else ():
+            literal = [p for p in range(at, at + n) if not template[p].startswith("#")]
+            key = (n, "t", *template[at : at + n]) if literal else (n, "v", *value[at : at + n])
+            windows.setdefault(key, []).append((k, at, set(literal)))
+    out = set()
+    for d, text in docs.items():
+        template, value = words_of(text)
+        hits = {}
+        for n in {k[0] for k in windows}:
+            for pos in range(len(template) - n + 1):
+                for kind, side in (("t", template), ("v", value)):
+                    for item, at, literal in windows.get((n, kind, *side[pos : pos + n]), ()):
+                        hits.setdefault((item, pos - at), []).append((pos, at, n, literal))
+        for (item, shift), found in hits.items():
+            found.sort(key=lambda h: h[0])
+            strong, parts = [h for h in found if len(h[3]) >= least], []
+            for h in found:
+                if parts and h[0] == parts[-1][-1][0] + 1:
+                    parts[-1].append(h)
+                else:
+                    parts.append([h])
+            kept = []
+            for run in [strong] * bool(strong) + [p for p in parts if any(len(h[3]) < least for h in p)]:
+                t, v = own[item]
+                slots = {(v[p - shift], value[p]) for h in run for p in range(h[0], h[0] + h[2]) if t[p - shift].startswith("#")}
+                if len({a for a, _ in slots}) < len(slots) or len({b for _, b in slots}) < len(slots):
+                    continue
+                exact, literal = all(a == b for a, b in slots), set().union(*(h[3] for h in run))
+                n = run[-1][0] + run[-1][2] - run[0][0]
+                if exact or len(literal) >= least or n == len(t) >= least and literal:
+                    kept.append((run is strong, (d, item, run[0][0], run[0][1], n, len(run), exact)))
+            out |= {r for s, r in kept if s or not any(x for x, _ in kept)}
+    return out
+
+
+def test_decontamination_against_definition(spark, small):
+    """All windows of all documents and items of the given tables, and items that are alike but for their values."""
+    from pyspark.sql import functions as F
+
+    like = "A train goes {} km in {} hours from {} to Bonn, how far does it go in {} hours at most"
+    shelf = "The first shelf of that shop holds exactly {} apples while the second shelf of it holds exactly {} plums by now"
+    extra = [(9001, like.format(60, 2, "Ulm", 7)), (9002, like.format(90, 3, "Hof", 7)), (9003, "What is 12 + 7 * 3 - 4 / 2 ?"), (9004, "Solve 3 x + 4 y = 12 and 5 x - 2 y = 7"), (9005, "one two"), (9006, "12 13 14 15 16 17 18 19 20 21"), (9007, shelf.format(3, 5))]
+    items = small("benchmark").select(F.col("item_id").cast("long"), "text").unionByName(spark.createDataFrame(extra, "item_id long, text string"))
+    texts = [like.format(90, 3, "Hof", 7), like.format(50, 5, "Ulm", 8), like.format(50, 4, "Ulm", 50), "so what is 12 + 7 * 3 - 4 / 2 then", "Solve 3 x + 4 y = 12 and 5 x - 2 y = 7 now", "one, two", "11 12 13 14 15 16 17 18 19 20 21", "1 2 3 4 5 6 7 8 9 10", shelf.format(4, 6), shelf.format(4, 4)]
+    docs = small("documents").select("doc_id", "text").unionByName(spark.createDataFrame([(90000 + k, f"xx yy {t} zz") for k, t in enumerate(texts)], "doc_id long, text string"))
+    known = {}
+    for frame in (docs, items):
+        text = F.coalesce("text", F.lit(""))
+        for r in frame.select(text.alias("text"), decontamination.words(decontamination.templated(decontamination.valued(text))).alias("t"), decontamination.words(decontamination.valued(text)).alias("v")).collect():
+            known[r["text"]] = r["t"], [w.replace(decontamination.MARK, "") for w in r["v"]]
+    want = brute_matches({r["doc_id"]: r["text"] or "" for r in docs.collect()}, {r["item_id"]: r["text"] or "" for r in items.collect()}, known.__getitem__)
+    rows = decontamination.matches(docs, items).collect()
+    got = {(r["doc_id"], r["item_id"], r["start"], r["item_start"], r["n_words"], r["n_windows"], r["exact"]) for r in rows}
+    assert got == want and len(rows) == len(got)
+    found = {(d, i): e for d, i, *_, e in got if d >= 90000}
+    assert found[90000, 9002] and found[90001, 9001] is False
+    assert found[90008, 9007] is False and (90009, 9007) not in found  # 3 and 5 both went to 4
+    assert found[90003, 9003] and found[90004, 9004] and found[90005, 9005] and found[90006, 9006]
+    assert not any(d == 90007 for d, _ in found)
+
+
+def test_stages_keep_columns_with_any_name(spark, messy):
+    odd = messy.withColumnRenamed("node", "a.b").withColumnRenamed("fp", "select").withColumnRenamed("spans", "c`d")
+    bench = spark.createDataFrame([(1, "nothing of that kind stands in any of these texts at all")], "item_id long, text string")
+    for out in (simhash.deduplicated(odd), decontamination.cleaned(odd, bench)):
+        assert out.columns == odd.columns and out.count() > 0
+    assert decontamination.cleaned(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_equal_hashes_of_different_texts(spark, monkeypatch):
+    """With hashes of 3 bits most texts share one with others; a second one tells them apart."""
+    from pyspark.sql import functions as F
+
+    from ledgerlake.llm import common
+
+    plain = F.xxhash64
+    weak = lambda *c: F.pmod(plain(*c), F.lit(3)) if len(c) == 1 else plain(*c)
+    docs = spark.createDataFrame([(k, f"text {k % 20}") for k in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(common.F, "xxhash64", weak)
+    mark, groups = common.identified(docs, n=F.count(F.lit(1)))
+    assert sorted(r["n"] for r in groups.collect()) == [3] * 20
+    assert mark(docs, "text", "node").groupBy("node").agg(F.count_distinct("text").alias("n")).filter("n > 1").count() == 0
+
+
 def test_decontamination(spark, small, messy):
     bench = spark.createDataFrame([(1, "If John has 12 apples and gives 3 kg of them to Mary, how many does John keep?"), (2, "Too short"), (3, None), (4, "")], "item_id long, text string")
     same = "xx yy. If Peter has 7 apples and gives 5 kg of them to Anna, how many does {} keep? zz"

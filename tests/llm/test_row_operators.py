@@ -1,7 +1,10 @@
 """Secrets, packing, rules, attention, toxicity, pseudonyms: row by row, against brute force."""
 
 import hashlib
+import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +15,46 @@ from pyspark.sql import functions as F
 from ledgerlake.llm import attention, packing, pseudonyms, rules, secret_scan, toxicity
 
 
+def test_stretches_are_as_good_as_whole_texts(small):
+    """Decoding whole texts, every token of them, tags what decoding the stretches near odd tokens does."""
+    field = secret_scan.trained()
+    for r in small("documents", "sf0.001").collect():
+        text = r["text"] or ""
+        odd = len(secret_scan.ODD.findall(text))
+        whole = secret_scan.decoded(text, [(0, len(text))], field, secret_scan.file_features(text, odd)) if odd else []
+        assert secret_scan.field_spans(text, field) == whole
+
+
+def test_scores_are_the_sums_of_features():
+    field, rng = secret_scan.trained(), random.Random(2)
+    for _ in range(40):
+        tokens = [t for _ in range(3) for t in secret_scan.made_sequence(rng)[0]]
+        file = secret_scan.file_features(" ".join(tokens), 2)
+        want = [field.weights[[field.names[f] for f in fs if f in field.names]].sum(axis=0) for fs in secret_scan.features(tokens, file)]
+        assert field.scores(tokens, file) == pytest.approx(np.array(want))
+
+
+@pytest.mark.parametrize("piece", ["abcd1234;", "x9y8z7w6v5={a:1,b:'{}'};", "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo"])
+def test_a_megabyte_without_white_space(piece):
+    field = secret_scan.trained()
+    text = "".join(piece.replace('{}', str(k)) for k in range(-(-(1 << 20) // len(piece))))
+    begun = time.process_time()
+    base, every = secret_scan.spans(text, field)
+    assert time.process_time() - begun < 5
+    assert set(base) <= set(every)
+
+
+def test_added_spans_overlap_no_base_span(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(300):
+        base = sorted((a, a + rng.randint(1, 9), "hex") for a in rng.sample(range(120), 5))
+        added = [(a, a + rng.randint(1, 6), "field") for a in sorted(rng.sample(range(0, 120, 6), 9))]  # the field's are apart
+        monkeypatch.setattr(secret_scan, "base_spans", lambda text, b=base: b)
+        monkeypatch.setattr(secret_scan, "field_spans", lambda text, field, f=added: f)
+        want = [s for s in added if all(s[1] <= a or b <= s[0] for a, b, _ in base)]
+        assert secret_scan.spans("", None)[1] == sorted([*base, *want], key=lambda s: (s[0], secret_scan.ORDER[s[2]]))
+
+
 def test_base_spans_and_hash(small, messy):
     for docs in (small("documents"), messy):
         got = secret_scan.scanned(docs).collect()
@@ -139,35 +182,99 @@ def test_gradients():
     assert np.add.reduceat(f["a"], [0, 3, 5]) == pytest.approx(np.ones(3))
 
 
-def test_nearest_is_exact():
+def test_nearest_is_exact(monkeypatch):
     rng = np.random.default_rng(3)
     vectors = []
     for _ in range(700):
         t = np.unique(rng.integers(0, 40, rng.integers(0, 6)))
         w = rng.random(len(t)) + 0.1
         vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
-    index = toxicity.Index.of(vectors, 40)
+    first = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors])))
+    index = toxicity.Index(first, np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]), 40)
     dense = np.zeros((700, 40))
     for k, (t, w) in enumerate(vectors):
         dense[k, t] = w
-    for t, w in vectors[:150]:
-        who, cosine = index.nearest(t, w, 9)
-        score = dense[:, t] @ w
-        order = np.lexsort((np.arange(700), -np.round(score, 12)))[:9]
-        order = order[score[order] > 0]
-        assert cosine == pytest.approx(score[order]) and (who == order).all()
+    for postings in (toxicity.POSTINGS, 50):
+        monkeypatch.setattr(toxicity, "POSTINGS", postings)
+        some = vectors[:150]
+        query = np.repeat(np.arange(150), [len(t) for t, _ in some])
+        found = index.nearest(query, np.concatenate([t for t, _ in some]), np.concatenate([w for _, w in some]), 150, 9)
+        for (t, w), (who, cosine) in zip(some, found, strict=True):
+            score = dense[:, t] @ w
+            order = np.lexsort((np.arange(700), -np.round(score, 9)))[:9]
+            order = order[score[order] > 0]
+            assert cosine == pytest.approx(score[order]) and (who == order).all()
+
+
+def test_toxicity_against_dense_vectors(small):
+    """Every score of the query's operator, from vectors over all words and cosines with all examples."""
+    docs, labels = small("documents"), small("labels")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    words = {k: Counter("".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in t).split(" ")) for k, t in text.items()}
+    for w in words.values():
+        w.pop("", None)
+    sample = sorted(k for k in known if k in text)
+    df, n, ones = Counter(w for c in words.values() for w in c), len(text), sum(known[k] for k in sample)
+    zeros, vocabulary = len(sample) - ones, {w for k in sample for w in words[k]}
+    have = {v: Counter(w for k in sample if known[k] == v for w in words[k]) for v in (0, 1)}
+
+    def heft(w):
+        if w not in vocabulary:
+            return math.log(1 + n) * 0.02
+        a, b = have[1][w], have[0][w]
+        table = [[a, b], [ones - a, zeros - b]]
+        want = [[(a + b) * ones / (ones + zeros), (a + b) * zeros / (ones + zeros)], [(ones + zeros - a - b) * ones / (ones + zeros), (ones + zeros - a - b) * zeros / (ones + zeros)]]
+        chi = sum((table[i][j] - want[i][j]) ** 2 / want[i][j] for i in (0, 1) for j in (0, 1)) if 0 < a + b < ones + zeros else 0
+        return math.log(1 + n / (1 + df[w])) * (0.02 + math.sqrt(max(0, chi - 10) / (ones + zeros)))
+
+    every = {w: heft(w) for w in df}
+
+    def vector(k):
+        v = {w: (1 + math.log(c)) * every[w] for w, c in words[k].items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    examples = {k: vector(k) for k in sample}
+    share = (sum(known.values()) + 0.5) / (len(known) + 2)
+    vote = {1: share / ones * len(sample), 0: (1 - share) / zeros * len(sample)}
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, labels).collect()}
+    assert len(got) == len(text)
+    for k in sorted(text)[::7]:
+        v = vector(k)
+        cosine = {e: sum(x * u[w] for w, x in v.items() if w in u) for e, u in examples.items()}
+        near = sorted((e for e in cosine if cosine[e] > 0), key=lambda e: (-round(cosine[e], 9), e))[: toxicity.K]
+        votes = {e: vote[known[e]] / (1 - min(1, cosine[e]) + 0.05) for e in near}
+        want = sum(x for e, x in votes.items() if known[e]) / sum(votes.values()) if near else share
+        assert got[k]["score"] == pytest.approx(want, abs=1e-6) and got[k]["evidence"] == near[:3]
 
 
 def test_toxicity(small, messy, labels):
     got = toxicity.scored(small("documents", "sf0.1"), small("labels", "sf0.1")).join(small("labels", "sf0.1"), "doc_id").filter("held_out").collect()
-    assert np.mean([r["predicted"] for r in got if r["toxic"] == 1]) > 0.85
+    assert np.mean([r["predicted"] for r in got if r["toxic"] == 1]) > 0.9
     assert np.mean([r["predicted"] for r in got if r["toxic"] == 0]) < 0.01
+    # calibration: in every fifth of the scores that holds 30 documents or more, the mean score is near the share of label 1
+    for low in np.arange(0, 1, 0.2):
+        some = [(r["score"], r["toxic"]) for r in got if low <= r["score"] < low + 0.2 + 1e-9]
+        if len(some) >= 30:
+            assert abs(np.mean([s for s, _ in some]) - np.mean([t for _, t in some])) < 0.05
     assert toxicity.scored(messy, labels).count() == messy.count()
     assert {r["predicted"] for r in toxicity.scored(messy, labels.limit(0)).collect()} == {0}
     assert toxicity.cleaned(messy, labels.limit(0)).columns == messy.columns
+    assert toxicity.cleaned(messy, labels).count() <= messy.count()
     assert toxicity.cleaned(messy.limit(0), labels).count() == 0
 
 
+def test_the_least_of_several_rows_of_an_id_is_learnt_from(spark, labels):
+    from ledgerlake.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(4, "b"), (4, "a"), (4, None), (7, "x" * 40), (5, "y")], "doc_id long, text string")
+    known = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["text"] for r in labelled_sample(docs, known, "toxic", 100).collect()}
+    assert set(got.items()) <= {(4, ""), (7, "x" * 40), (5, "y")} and got
+    assert 7 not in {r["doc_id"] for r in labelled_sample(docs, known, "toxic", 100, chars=320).collect()}
+
+
 def luhn(s):
     d = [int(c) for c in reversed(s)]
     return sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(d)) % 10 == 0
