@@ -18,22 +18,24 @@ def classify(value: Column) -> Column:
     return (
         F.when(value.isNull(), "skip")
         .when(keys.isNull(), "bad")  # no JSON, or no object
-        .when(op.isNull(), "skip")
-        .when(~op.isin(*OPS) | images.isNull() | F.get_json_object(value, "$.source.table").isNull(), "bad")
+        .when(~F.array_contains(keys, "op"), "skip")
+        .when(~F.coalesce(op.isin(*OPS), F.lit(False)) | images.isNull(), "bad")
         .otherwise("event")
     )
 
 
 def decode(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """messages (key, value, topic, partition, offset) to (events as contracts.RAW without _ingested_at, dead letters)."""
+    """messages (key, value, topic, partition, offset) to (events as contracts.RAW without _ingested_at, dead letters).
+
+    The key stays JSON, with all its columns; an event whose source names no table belongs to the last part of its topic.
+    """
     told = messages.withColumn("_kind", classify(F.col("value")))
     get = lambda path: F.get_json_object("value", path)
     source = F.from_json(get("$.source"), SOURCE)
-    key = F.from_json(F.col("key"), "MAP<STRING, STRING>")
     events = told.filter("_kind = 'event'").select(
         get("$.op").alias("op"),
-        source["table"].alias("table_name"),
-        F.element_at(F.map_values(key), 1).alias("primary_key"),
+        F.coalesce(source["table"], F.element_at(F.split("topic", r"\."), -1)).alias("table_name"),
+        F.col("key").alias("primary_key"),
         get("$.before").alias("before"),
         get("$.after").alias("after"),
         source["ts_ms"].alias("source_ts_ms"),

@@ -80,6 +80,13 @@ def catch_extremes(history: DataFrame) -> DataFrame:
     return catch_history(history).agg(F.max("catch_rate").alias("best"), F.min("catch_rate").alias("worst"))
 
 
-def to_csv(rows: DataFrame, path: str) -> None:
-    """One file, with a header even without rows, moments as naive UTC."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+def latest(runs_: DataFrame, n: int = 1, at: str = "run_ts") -> DataFrame:
+    """The newest runs, the newest first; ties by all other columns."""
+    return runs_.orderBy(F.col(at).desc(), *(c for c in runs_.columns if c != at)).limit(n)
+
+
+def to_csv(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """One file, sorted by the columns of order and then by all others, with a header even without rows, moments as
+    naive UTC. These are reports for people; a large frame is written without this, as parquet."""
+    first = order or []
+    rows.orderBy(*first, *(c for c in rows.columns if c not in first)).coalesce(1).write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)

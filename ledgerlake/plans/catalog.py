@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, changes, exports, gold, quality, temporal
+from ..contracts import Contract, columns
+from ..generator import redelivered
+from ..sources import landing
 from ..streaming import bronze
+from ..tables import VersionedTable
 from .roles import LOG_ID, Roles, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +23,11 @@ _ENTRIES: dict[str, tuple[Callable[[Roles], DataFrame], str | None]] = {}
 TIME = "'%Y-%m-%d %H:%M:%S'"
 
 
+def _folder(r: Roles, name: str) -> str:
+    """A new folder in the shared one (a temporary one only where the session names none)."""
+    return f"{(r.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def shown(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
@@ -64,29 +73,36 @@ def _(r: Roles) -> DataFrame:
 @query("history_insert_only", "SELECT part, lsn, pk, op FROM log")
 def _(r: Roles) -> DataFrame:
     """The first half, and then the whole log with deliveries repeated, merged by event id."""
-    half = r.log().filter("lsn % 2 = 0")
-    fresh = changes.dedupe_events(r.delivered(), LOG_ID).join(half.select(*LOG_ID), LOG_ID, "left_anti")
-    return half.unionByName(fresh).select("part", "lsn", "pk", "op")
+    t = VersionedTable(r.spark, _folder(r, "tables"), LOG_ID)
+    t.insert_only(r.log().filter("lsn % 2 = 0"), LOG_ID)
+    t.insert_only(r.delivered(), LOG_ID)
+    return t.read().select("part", "lsn", "pk", "op")
 
 
 @query("upsert_two_batches", "SELECT pk, lsn, op FROM state")
 def _(r: Roles) -> DataFrame:
     """Newest rows of late events merged into newest rows of early ones, in the wrong order."""
-    log = r.log()
-    late, early = (changes.latest_per_key(log.filter(f"lsn % 2 = {k}"), "pk", ["lsn"]) for k in (1, 0))
-    return changes.latest_per_key(late.unionByName(early), "pk", ["lsn"]).select("pk", "lsn", "op")
+    t = VersionedTable(r.spark, _folder(r, "tables"), ["pk"])
+    for k in (1, 0):
+        t.upsert_newer(r.log().filter(f"lsn % 2 = {k}"), "pk", ["lsn"])
+    return t.read().select("pk", "lsn", "op")
 
 
 @query("watermark_slice", "SELECT lsn, pk FROM log WHERE lsn > (SELECT max(lsn) FROM log WHERE lsn % 2 = 0) - 500")
 def _(r: Roles) -> DataFrame:
-    mark = r.log().filter("lsn % 2 = 0").agg((F.max("lsn") - 500).alias("mark"))
-    return r.log().join(F.broadcast(mark), F.col("lsn") > F.col("mark")).select("lsn", "pk")
+    mark = r.log().filter("lsn % 2 = 0").agg((F.max("lsn") - 500).alias("mark")).first()["mark"]
+    return landing.after(r.log(), mark, "lsn").select("lsn", "pk")
 
 
 @query("parse_changes_typed", "SELECT lsn, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, moment IS NOT NULL AS has_time, op = 'd' AS is_deleted FROM log")
 def _(r: Roles) -> DataFrame:
-    image = F.from_json("props", "k BIGINT")
-    return r.log().select("lsn", image["k"].alias("k"), F.col("at").isNotNull().alias("has_time"), (F.col("op") == "d").alias("is_deleted"))
+    image = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at")))
+    events = r.log().select(
+        "op", F.lit("events").alias("table_name"), F.when(F.col("op") == "d", image).alias("before"), F.when(F.col("op") != "d", image).alias("after"), F.col("lsn").alias("source_lsn"),
+        F.unix_millis(F.col("at").cast("timestamp")).alias("source_ts_ms"), F.lit("log").alias("_kafka_topic"), F.col("part").cast("int").alias("_kafka_partition"), F.col("lsn").alias("_kafka_offset"),
+    )
+    rows = changes.parse_changes(events, "events", Contract("k", columns("k BIGINT, created_at STRING")))
+    return rows.select(F.col("source_lsn").alias("lsn"), "k", F.col("created_at").isNotNull().alias("has_time"), F.col("_is_deleted").alias("is_deleted"))
 
 
 @query("pii_hash", "SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN sha256(lower(trim(c_name))) END AS name_hash FROM customer")
@@ -97,7 +113,7 @@ def _(r: Roles) -> DataFrame:
 @query("schema_drift_keys", "SELECT 'events' AS table_name, key AS column_name, min(lsn) AS first_seen_lsn FROM (SELECT unnest(json_keys(props)) AS key, lsn FROM log) WHERE key NOT IN ('user_id') GROUP BY key")
 def _(r: Roles) -> DataFrame:
     rows = r.log().select(F.lit("events").alias("table_name"), F.col("props").alias("after"), F.lit(None).cast("string").alias("before"), F.col("lsn").alias("source_lsn"))
-    return changes.schema_drift(rows, "events", known=["user_id"])
+    return changes.schema_drift(rows, {"events": ["user_id"]})
 
 
 # --- versions
@@ -233,10 +249,12 @@ def _(r: Roles) -> DataFrame:
 
 @query("health_row", f"SELECT (SELECT count(*) FROM delivered) AS bronze_rows, (SELECT count(*) FROM log WHERE op <> 'r') AS events, strftime(greatest((SELECT max(moment) FROM log), (SELECT max(moment) FROM history)), {TIME}) AS newest")
 def _(r: Roles) -> DataFrame:
-    rows = r.delivered().agg(F.count(F.lit(1)).alias("bronze_rows"))
-    events = r.log().filter("op <> 'r'").agg(F.count(F.lit(1)).alias("events"))
-    newest = audit.newest([r.log().select("at"), r.payments_history().select(F.col("_source_ts").alias("at"))], "at")
-    return rows.join(F.broadcast(events)).join(F.broadcast(newest.select(shown("newest"))))
+    """The log was handled by this run, the payments' history before it began."""
+    moment = lambda c: F.col(c).cast("timestamp").alias("_source_ts")
+    own = r.log().select("op", moment("at"), F.lit("2030-01-02").cast("timestamp").alias("_processed_at"))
+    past = r.payments_history().select("op", moment("_source_ts"), F.lit("2029-12-31").cast("timestamp").alias("_processed_at"))
+    row = audit.health([own, past], r.delivered(), "2030-01-03", "2030-01-01").withColumnRenamed("max_source_ts", "newest")
+    return row.select("bronze_rows", "events", shown("newest"))
 
 
 # --- exports
@@ -276,6 +294,31 @@ def _(r: Roles) -> DataFrame:
     return r.violations().groupBy("table_name", "rule_name").agg(F.count(F.lit(1)).alias("flags"), F.count_distinct("pk").alias("rows_flagged"))
 
 
+@query("export_risk", "SELECT merchant_id, name, category, current_risk_tier, captured_30d, disputes_30d, refunded_30d, flagged_30d, chargeback_rate, refund_rate FROM risk")
+def _(r: Roles) -> DataFrame:
+    return exports.risk(gold.merchant_risk(r.lifecycle(), r.merchants()))
+
+
+@query("export_flags", "SELECT rule_name, table_name, pk, observed FROM found")
+def _(r: Roles) -> DataFrame:
+    return exports.flags(r.violations())
+
+
+@query("amount_split", "SELECT currency, part, CAST(sum(cents) AS BIGINT) AS cents FROM (" + " UNION ALL ".join(f"SELECT currency, '{part}' AS part, {c} AS cents FROM days" for part, c in (("fees", "fee_cents"), ("refunds", "refund_cents"), ("chargebacks", "dispute_lost_cents"), ("net", "net_cents"))) + ") GROUP BY currency, part")
+def _(r: Roles) -> DataFrame:
+    return exports.amount_split(r.settlement())
+
+
+@query("captured_and_refunded", "SELECT CAST(day AS VARCHAR) AS settlement_date, currency, CAST(sum(gross_cents) AS BIGINT) AS gross_cents, CAST(sum(refund_cents) AS BIGINT) AS refund_cents FROM days GROUP BY day, currency")
+def _(r: Roles) -> DataFrame:
+    return exports.captured_and_refunded(r.settlement()).withColumn("settlement_date", day("settlement_date"))
+
+
+@query("volume_against_chargebacks", "SELECT merchant_id, category, captured_30d, chargeback_rate FROM risk WHERE captured_30d >= 20")
+def _(r: Roles) -> DataFrame:
+    return exports.volume_against_chargebacks(gold.merchant_risk(r.lifecycle(), r.merchants()))
+
+
 # --- streams, run to their end over the same rows
 
 
@@ -284,7 +327,7 @@ def _streamed(r: Roles, name: str, build: Callable[[DataFrame], DataFrame], mode
     only where the session names none)."""
     spark = r.spark
     rows = spark.readStream.schema(r.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(r.sf_dir)
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    root = _folder(r, f"streams/{name}")
     out = build(rows).writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
         q = out.format("parquet").start(f"{root}/rows")
@@ -296,7 +339,9 @@ def _streamed(r: Roles, name: str, build: Callable[[DataFrame], DataFrame], mode
 
 @query("stream_bronze_append", "SELECT event_id, user_id, event_type FROM events")
 def _(r: Roles) -> DataFrame:
-    return _streamed(r, "append", lambda rows: rows.select("event_id", "user_id", "event_type"), "append")
+    root = _folder(r, "streams")
+    bronze.ingest(r.spark, r.sf_dir, f"{root}/rows", f"{root}/state", r.table("events").schema, "events.parquet").awaitTermination()
+    return r.spark.read.parquet(f"{root}/rows").select("event_id", "user_id", "event_type")
 
 
 @query("stream_dedupe", "SELECT DISTINCT event_id, user_id FROM events")
@@ -318,9 +363,7 @@ def _(r: Roles) -> DataFrame:
 
     class Replayed(Roles):
         def log(self) -> DataFrame:
-            plain = super().log()
-            noisy = plain.unionByName(plain.sample(0.2, 7))
-            return changes.dedupe_events(noisy, LOG_ID)
+            return changes.dedupe_events(redelivered(super().log()), LOG_ID)
 
     a, b = total(r.settlement(), "a"), total(Replayed(r.spark, r.sf_dir).settlement(), "b")
     same = [F.col(f"a_{m}").eqNullSafe(F.col(f"b_{m}")) for m in measures]

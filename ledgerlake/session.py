@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -15,3 +18,12 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for k, v in (fixed | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows written to the shared checkpoint folder now, for frames that several parts of a plan read; a folder of our
+    own only where the session names none (tests)."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerlake-checkpoints"))
+    return rows.checkpoint()

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..contracts import EVENT_ID
+from ..contracts import EVENT_ID, RAW
 from ..sources import landing
 
 
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: T.StructType = RAW, files: str = "*.parquet") -> StreamingQuery:
     """Everything new is appended once, and the query ends; the checkpoint knows what was read."""
-    rows = landing.stream(spark, source).withColumn("_bronze_loaded_at", F.current_timestamp())
+    rows = landing.stream(spark, source, schema, files=files).withColumn("_bronze_loaded_at", F.current_timestamp())
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
 
 

@@ -38,9 +38,41 @@ def test_insert_only_delete_vacuum(spark, tmp_path):
     t.delete(F.col("pk") == 1)
     assert rows_of(t.read()) == [(2, 2, 1, "c")] and t.version() == 3
     assert t.vacuum() == [1, 2] and t.versions() == [3]
-    # a crash before the pointer moves leaves a version that isn't seen
-    spark.createDataFrame([(9, 9, 9, "z")], SCHEMA).write.parquet(str(tmp_path / "t" / "v4"))
-    assert rows_of(t.read()) == [(2, 2, 1, "c")] and t.vacuum() == [4]
+    # a crash before the pointer moves leaves files that no version names, or a version that isn't seen
+    spark.createDataFrame([(9, 9, 9, "z")], SCHEMA).write.parquet(str(tmp_path / "t" / "data-lost"))
+    (tmp_path / "t" / "v4.json").write_text((tmp_path / "t" / "v3.json").read_text())
+    assert rows_of(t.read()) == [(2, 2, 1, "c")] and t.vacuum() == [4] and not (tmp_path / "t" / "data-lost").exists()
+    assert rows_of(t.read()) == [(2, 2, 1, "c")]
+
+
+def test_a_change_leaves_other_files_as_they_are(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    t = VersionedTable(spark, str(tmp_path / "t"), ["pk"], buckets=8)
+    t.upsert_newer(spark.range(200).select(F.col("id").alias("pk"), F.lit(1).cast("long").alias("source_lsn"), F.lit(0).cast("long").alias("_kafka_offset"), F.lit("a").alias("v")), "pk")
+    before = set(t.files())
+    assert len(before) == 8
+    t.upsert_newer(spark.createDataFrame([(5, 2, 0, "b"), (5, 0, 0, "old")], SCHEMA), "pk")
+    after = set(t.files())
+    assert len(before - after) == 1 == len(after - before) and t.read().count() == 200 and t.read().filter("v = 'b'").count() == 1
+    t.insert_only(spark.createDataFrame([(5, 9, 0, "no"), (None, 9, 0, "null key"), (None, 9, 0, "null key"), (900, 1, 1, "new")], SCHEMA), ["pk"])
+    t.insert_only(spark.createDataFrame([(None, 9, 0, "again")], SCHEMA), ["pk"])
+    assert after <= set(t.files()) and t.read().count() == 202
+    held = set(t.files())
+    t.delete(F.col("pk") == 900)
+    assert len(held - set(t.files())) <= 2 and t.read().count() == 201
+    old = t.version()
+    t.append(spark.createDataFrame([(901, 1, 1, "x", 3)], SCHEMA + ", extra int"))
+    assert t.read().filter("extra = 3").count() == 1 and t.read(old).count() == 201 and "extra" not in t.read(old).columns
+    t.compact()
+    assert t.detail()["files"] <= 8 and t.read().count() == 202 and t.vacuum(1) and t.read().count() == 202
+
+
+def test_bootstrap_makes_empty_tables(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    lake.bootstrap()
+    lake.bootstrap()
+    assert lake.read("payments").count() == 0 and lake.table("silver", "payments_history").version() == 1
 
 
 def test_lake_end_to_end_and_replay(spark, tmp_path):
@@ -71,3 +103,5 @@ def test_lake_end_to_end_and_replay(spark, tmp_path):
     rebuilt = gold.merchant_versions(lake.read("merchants_history"))
     assert rebuilt.count() == 16  # every merchant changed its fee once
     assert lake.maintain()["gold.merchant_risk"]["files_after"] == 1
+    assert lake.table("ops", "maintenance_runs").read().count() > 10
+    assert lake.table("ops", "quarantine").read().count() == 0
