@@ -20,6 +20,8 @@ from .common import held_out, labelled_sample, slices, texts
 from .tokens import Words
 
 PASSAGE, SAMPLE, HIDDEN, GATE, EPOCHS = 64, 1500, 24, 12, 150
+#: Characters of labelled texts of a class that the network is learnt from.
+CHARS = 8_000_000
 #: Classes of bytes: other signs are 0; white space, line ends, small and large letters, digits, bytes of other letters, and some signs by themselves.
 CLASSES = [" \t\x0b\x0c\r", "\n", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", None, ".", ",", "!", "|", "#*$%&<>"]
 KINDS = len(CLASSES) + 1
@@ -115,23 +117,24 @@ def fitted(x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, se
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE) -> tuple[Network | None, float]:
-    """The network from at most per_class labelled rows of each class, and the share of label 1 among all labels
+    """The network from at most per_class labelled rows of each class, with CHARS characters (some 100 MB of encodings on
+    the driver at most), and the share of label 1 among all labels
     outside the held-out fold, to which the classes are weighted; no network if a class is missing."""
-    sample = labelled_sample(docs, labels, label, per_class).select("doc_id", "text", "label")
+    sample = labelled_sample(docs, labels, label, per_class, CHARS).select("doc_id", "text", "label")
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out()).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("ones")).first()
     share = (known["ones"] + 1) / (known["n"] + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x, bag = encoded(b.column(1).to_pylist())
-            rows = [x[bag == k].astype(np.float32).ravel() for k in range(b.num_rows)]
-            yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.float32())), b.column(2)], names=["doc_id", "x", "label"])
+            rows = [x[bag == k].astype("<f4").tobytes() for k in range(b.num_rows)]
+            yield pa.record_batch([b.column(0), pa.array(rows, pa.binary()), b.column(2)], names=["doc_id", "x", "label"])
 
-    got = sorted(sample.mapInArrow(run, "doc_id long, x array<float>, label int").collect(), key=lambda r: r["doc_id"])
+    got = sorted(sample.mapInArrow(run, "doc_id long, x binary, label int").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in got], float)
     if len(np.unique(y)) < 2:
         return None, float(share)
-    bags = [np.array(r["x"]).reshape(-1, WIDTH) for r in got]
+    bags = [np.frombuffer(r["x"], "<f4").astype(float).reshape(-1, WIDTH) for r in got]
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return fitted(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), y, weight), float(share)
 

@@ -15,14 +15,16 @@ Values that fail their check stay. Nothing is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
 
 ROUNDS = 10
-#: For tests; production passes a secret of its own.
-KEY = "ledgerlake public example key"
+#: Where the session holds the secret key, and the public one that stands in for it in tests and trials.
+KEY_SETTING, KEY = "spark.ledgerlake.pseudonym.key", "ledgerlake public example key"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 # Kinds in the order in which they are tried at a place.
 PATTERNS = {
@@ -37,6 +39,14 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def configured_key(spark: SparkSession) -> str:
+    """The session's key. Without one the public key is used, and said so: anyone can undo its pseudonyms."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} isn't set: pseudonyms are made with the public example key and aren't secret", stacklevel=3)
+    return key or KEY
+
+
 def keyed(key: str, *parts: Column) -> Column:
     """64 hexadecimal digits from the key and the parts."""
     return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)), 256)
@@ -245,15 +255,17 @@ def new_card(key: str, value: Column) -> Column:
     return refilled(value, let(digits_of(value), made), "[0-9]")
 
 
-def with_pseudonyms(docs: DataFrame, key: str = KEY, text: str = "text", found: str | None = None) -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: str | None = None, text: str = "text", found: str | None = None) -> DataFrame:
     """docs with every personal value of `text` replaced; `found` names a column for their kinds, in order.
 
     Null texts stay null and have no values; texts without a digit or an @ are not searched. Lengths change only
-    with octets. Other columns are as they were, repeated rows stay repeated.
+    with octets. Other columns are as they were, repeated rows stay repeated, very long texts are searched whole, and an
+    empty table stays empty. Without a key the session's is used (configured_key).
     """
     whole, hits, rest, kinds = F.col(text), "__hits", "__pieces", "__kinds"
     if text not in docs.columns:
         raise ValueError(f"no column {text}")
+    key = key or configured_key(docs.sparkSession)
     none = F.array().cast("array<string>")
     some = docs.withColumn(hits, F.when(whole.rlike("[0-9@]"), F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).otherwise(none))
     some = some.withColumn(kinds, F.transform(F.col(hits), lambda x: let(digits_of(x), lambda d: kind_of(x, d))))
@@ -267,7 +279,7 @@ def with_pseudonyms(docs: DataFrame, key: str = KEY, text: str = "text", found:
     return out.drop(hits, kinds, rest)
 
 
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replaced(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with pseudonyms (null: empty), and how many values of each kind were replaced."""
     found = with_pseudonyms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), key, found="found")
 
