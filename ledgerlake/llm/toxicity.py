@@ -179,11 +179,10 @@ class Voter:
 
 def vector(words: list[bytes], place: dict[bytes, int], heft: np.ndarray, rest: float) -> tuple[np.ndarray, np.ndarray]:
     """The terms of a text, ascending, and their weights in its vector of length 1."""
-    count = Counter(words)
-    known = sorted((place[w], n) for w, n in count.items() if w in place)
-    others = np.array([n for w, n in count.items() if w not in place], float)
-    term = np.array([t for t, _ in known], np.int64)
-    weight = (1 + np.log(np.array([n for _, n in known], float))) * heft[term]
+    ids = np.array([place.get(w, -1) for w in words], np.int64)
+    term, n = np.unique(ids[ids >= 0], return_counts=True)
+    others = np.array(list(Counter(words[i] for i in np.flatnonzero(ids < 0).tolist()).values()), float)
+    weight = (1 + np.log(n)) * heft[term]
     length = np.sqrt((weight * weight).sum() + (((1 + np.log(others)) * rest) ** 2).sum())
     return term, weight / length if length else weight
 
@@ -214,16 +213,15 @@ def voter(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out()).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("ones")).first()
     share = float((known["ones"] + 0.5) / (known["n"] + 2))
     y = np.array([r["label"] for r in got], float)
-    own = [terms(r["text"]) for r in got]
-    words = sorted({w for t in own for w in t})
+    words = sorted({w for r in got for w in terms(r["text"])})
     place = {w: i for i, w in enumerate(words)}
     n, df = frequencies(docs, place)
-    have = [np.array([place[w] for w in set(t)], np.int64) for t in own]
+    have = [np.unique(np.array([place[w] for w in terms(r["text"])], np.int64)) for r in got]
     by_label = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(h for h, v in zip(have, y, strict=True) if v == k)]), minlength=len(words)).astype(float) for k in (1, 0)]
     mark = marks(*by_label, int(y.sum()), int(len(y) - y.sum()))
     heft = np.log(1 + n / (1 + df)) * (PLAIN + mark)
     rest = float(np.log(1 + n)) * PLAIN
-    vectors = [vector(t, place, heft, rest) for t in own]
+    vectors = [vector(terms(r["text"]), place, heft, rest) for r in got]
     first = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors]))).astype(np.int64)
     term, weight = (np.concatenate([np.zeros(0, kind), *(v[k] for v in vectors)]) for k, kind in enumerate((np.int64, float)))
     classes = np.array([1 - share, share]) / np.maximum([len(y) - y.sum(), y.sum()], 1) * max(1, len(y))
