@@ -123,7 +123,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     if not targets.filter(F.size("slots") > 0).isEmpty():
         wanted = checkpointed(slots)
         texts_with = small_side(checkpointed(wanted.select("text_key").distinct()))
-        values = keyed.join(texts_with, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", words(valued(F.col("text"))).alias("v"))
+        # the words are read where the texts lie; behind the shuffle there are few partitions for so few rows
+        values = keyed.join(texts_with, "text_key", "left_semi").select("text_key", words(valued(F.col("text"))).alias("v")).dropDuplicates(["text_key"])
         values = values.select("text_key", F.posexplode("v").alias("at", "doc_value"))
         asked = wanted.select("text_key", "at").distinct()
         read = wanted.join(values.join(asked, ["text_key", "at"], "left_semi"), ["text_key", "at"])
