@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, every, identified, slices, small_side, texts
-from .passages import ROUNDS, SAMPLED, candidates, found_links, streamed
+from .passages import SAMPLED, candidates, found_links, streamed
 from .tokens import Words, mixed
 
 RADIUS, BANDS, SEED = 4, 6, 42
 #: Words of a piece, on average, and how many pieces of a text are compared: those with the least SimHashes, mixed.
 PIECE, SKETCH = 8, 12
-#: How many of the texts before it a text is compared with, among those with an equal piece.
-WIDTH = 8
+#: How many of the texts before it a text is compared with, among those with an equal piece, and in how many rounds more.
+WIDTH, FURTHER = 8, 1
 #: Pairs of look-up and node that are held at once.
 FRONTIER = 1 << 16
 #: Fingerprints after which a task works through its whole shards so far, those of a shard that is dealt anew in finer
@@ -346,8 +346,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     miss them. SKETCH pieces of a text are compared (a min-hash sample; texts with fewer pieces add as many
     shingles). Texts with an equal piece are sorted by the pieces before it in their samples, and a text meets the
     first and the WIDTH ones before it there, so candidates stay in proportion to texts; groups that aren't one class
-    then go into rounds (passages.found_links). This isn't exact: a pair is missed if its
-    samples have no piece in common, or if all rounds put it apart.
+    then go into another round (passages.found_links). This isn't exact: a pair is missed if its
+    samples have no piece in common, or if the orders put it apart.
     Equal texts are one node. Null texts are empty; texts without words are one group. Very long texts are used whole,
     repeated rows leave one of them, rows without doc_id come last, and an empty table stays empty. Columns may have
     any names but those that begin with two underscores.
@@ -384,7 +384,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
         some = checkpointed(pairs.filter(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")).select("a", "b"))
         return streamed(some, known.select("node", "text"), sizes, lambda it: similar(it, shingle, similarity), "a long, b long")
 
-    by_piece = found_links(met, members, alike, ROUNDS)
+    by_piece = found_links(met, members, alike, FURTHER)
     classes = components(by_print.unionByName(by_piece))
     placed = known_nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = placed.groupBy("component").agg(F.min(F.struct("first.nameless", "first.doc_id", "node")).alias("keeper"), F.sum("n").alias("rows")).filter("rows > 1")
