@@ -5,9 +5,9 @@ words and features of the whole file, and is decoded by Viterbi. It is trained h
 log-likelihood, on SEQUENCES lines that a seeded generator makes: credentials in many notations against phone and
 card numbers, addresses, versions, hashes of commits, dates and plain words. Training takes seconds and no corpus.
 
-Only tokens near an odd one can be tagged (a token of 8 or more signs with a digit, or a telling word); texts are
-scanned whole for those, and a stretch of REACH characters at either side, up to white space, is decoded with it.
-Between stretches every token is plain and has plain neighbours, and the field is held to `outside` there.
+Every token of every text is scored. One whose score for `outside` beats the others by more than any neighbours' tags
+can make up for is outside in the best sequence (Field.margins); Viterbi runs over what lies between such tokens, which
+gives the best sequence of the whole text.
 """
 
 from __future__ import annotations
@@ -39,11 +39,13 @@ TELLING = ("key", "secret", "token", "password", "passwd", "pwd", "passphrase",
 ODD = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{8,}|(?<![A-Za-z])(?:" + "|".join(sorted(TELLING, key=len, reverse=True)) + r")(?![A-Za-z])", re.IGNORECASE | re.ASCII)
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-]")
 SHAPES = [(kind, re.compile(signs).search) for kind, signs in (("a", "[a-z]"), ("A", "[A-Z]"), ("9", "[0-9]"), ("s", "[+/=]"), ("-", "[_-]"))]
-HEX_ONLY, SPACE = re.compile("[0-9a-f]+"), re.compile(r"\s")
-REACH, SEQUENCES, EPOCHS, RATE = 48, 1600, 60, 0.15
+HEX_ONLY = re.compile("[0-9a-f]+")
+#: Every telling word holds one of these.
+TOLD = re.compile("key|secret|token|passw|pwd|passphrase|credential|bearer|auth|private")
+SEQUENCES, EPOCHS, RATE = 1600, 60, 0.15
 B, I, O = 0, 1, 2  # noqa: E741
-#: Distances of the neighbours that count, and how many tokens' sums are remembered.
-NEAR, REMEMBERED = (-3, -2, -1, 1), 1 << 16
+#: Distances of the neighbours that count, how many tokens' sums are remembered, and how many tokens are scored at a time.
+NEAR, REMEMBERED, BLOCK = (-3, -2, -1, 1), 1 << 18, 1 << 14
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -66,8 +68,25 @@ def shape(token: str) -> str:
 
 def disorder(token: str) -> int:
     """Entropy of the characters, in half bits."""
-    n = len(token)
-    return round(-2 * sum(c / n * math.log2(c / n) for c in map(token.count, set(token))))
+    return entropy(tuple(sorted(map(token.count, set(token)))))
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def entropy(counts: tuple[int, ...]) -> int:
+    n = sum(counts)
+    return round(-2 * sum(c / n * math.log2(c / n) for c in counts))
+
+
+def sized(n: int) -> int:
+    return n if n < 8 else 8 + min(6, int(2 * math.log2(n / 8)))
+
+
+def alike(token: str) -> tuple:
+    """Equal only for tokens with equal word_features() and as many matches of ODD; of plain words without working these out."""
+    if token.isascii() and token.isalpha() and not TOLD.search(low := token.lower()):
+        kind = 0 if low == token else 1 if token.isupper() else 2
+        return kind, sized(len(token)), disorder(token[:256]), bool(HEX_ONLY.fullmatch(token))
+    return len(ODD.findall(token)), *word_features(token)
 
 
 def word_features(token: str) -> list[str]:
@@ -75,7 +94,7 @@ def word_features(token: str) -> list[str]:
     told = [f"w={low}"] if low in TELLING or not token[0].isalnum() else []
     told += [f"part={t}" for t in TELLING if t in low and t != low and len(token) < 40]
     n = len(token)
-    size = min(n, 8) if n < 8 else 8 + min(6, int(2 * math.log2(n / 8)))
+    size = sized(n)
     share = round(4 * sum(c.isdigit() for c in token) / n)
     return [*told, f"s={shape(token)}", f"n={size}", f"d={share}", f"s+n={shape(token)}/{size}", f"e={disorder(token[:256])}/{size}", f"hex={bool(HEX_ONLY.fullmatch(token))}/{size}", f"num={token.isdigit()}/{size}"]
 
@@ -155,13 +174,37 @@ def made_sequence(rng: random.Random) -> tuple[list[str], list[int]]:
     return tokens, tags
 
 
+class Places(dict):
+    """The row of a field's table for each token; tokens of up to 64 characters are remembered."""
+
+    def __init__(self, field: Field):
+        self.field, self.rows = field, 0
+
+    def __missing__(self, token: str) -> int:
+        key = alike(token)
+        row = self.get(key)
+        if row is None:
+            row = self[key] = self.rows
+            self.rows += 1
+            self.field.row(token, row)
+        if len(token) <= 64:
+            self[token] = row
+        return row
+
+
 class Field:
     """Weights of features by tag, of transitions, and of first tags."""
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray, first: np.ndarray):
         self.names, self.weights, self.moves, self.first = names, weights, moves, first
         self.rows = {f: weights[k].tolist() for f, k in names.items()}
-        self.known: dict[str | tuple[str, ...], tuple[tuple[float, ...], ...]] = {}
+        self.known: dict[str | tuple, tuple[tuple[float, ...], ...]] = {}
+        # a row for tokens that are alike: what parts() has, against `outside`, and how many odd ones stand in them
+        self.places = Places(self)
+        self.table = np.zeros((1 << 10, 2 * (len(NEAR) + 3) + 2))
+        # how much more than `outside` the moves from a tag before, and to one behind, may give another tag
+        ahead = np.maximum((moves - moves[:, O:]).max(axis=0), first - first[O])
+        self.most = (ahead + np.maximum((moves - moves[O]).max(axis=1), 0))[:O]
 
     def summed(self, names: list[str]) -> tuple[float, ...]:
         found = [self.rows[f] for f in names if f in self.rows]
@@ -172,15 +215,15 @@ class Field:
         a telling word before it; and whether it is one. Those of short tokens are remembered."""
         if token in self.known:
             return self.known[token]
+        key = alike(token)  # all that tokens with these features add is equal
+        if key in self.known:
+            return self.known[key]
         own = word_features(token)
-        alike = tuple(own)  # all that tokens with these features add is equal
-        if alike in self.known:
-            return self.known[alike]
         told = tuple(self.summed([f"before={t}", f"before={t}/{own[-3]}", f"{t}/{shape(token)}"]) for t in "nt")
         found = (self.summed(own), *(self.summed([f"{d}:{x}" for x in brief(own)]) for d in NEAR), *told, (float(telling(own)),))
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        self.known[alike] = found
+        self.known[key] = found
         if len(token) <= 64:
             self.known[token] = found
         return found
@@ -200,11 +243,71 @@ class Field:
         before = (seen[:-1] - seen[np.maximum(np.arange(n) - 4, 0)] > 0)[:, None]
         return out + np.where(before, np.array([f[-2] for f in found])[at], np.array([f[-3] for f in found])[at])
 
+    def placed(self, tokens: list[str]) -> np.ndarray:
+        """The row of the table that each token has; those of an earlier call no longer hold."""
+        if len(self.places) >= REMEMBERED:
+            self.places = Places(self)
+        return np.fromiter(map(self.places.__getitem__, tokens), np.int32, len(tokens))
+
+    def row(self, token: str, row: int) -> None:
+        if row == len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        *sums, (told,) = self.parts(token)
+        self.table[row] = [s[x] - s[O] for s in sums for x in (B, I)] + [told, len(ODD.findall(token))]
+
+    def odd(self, at: np.ndarray) -> int:
+        """How many matches of ODD a text has, given the rows of its tokens: each lies in one token, wherever that stands."""
+        return int(self.table[:, -1][at].sum())
+
+    def margins(self, at: np.ndarray, file: list[str]) -> np.ndarray:
+        """By token what scores() has for the beginning and the inside of a secret, less that for outside."""
+        n, wide = len(at), max(map(abs, NEAR)) + 1
+        if n > BLOCK + 2 * wide:  # with what the first and last tokens of a block see around it; edges only count at the ends of all
+            blocks = [(a, max(0, a - wide), min(n, a + BLOCK + wide)) for a in range(0, n, BLOCK)]
+            return np.concatenate([self.margins(at[low:high], file)[a - low : a - low + BLOCK] for a, low, high in blocks])
+        rows = self.table[at]
+        less = lambda s: np.array(s[:O]) - s[O]
+        out = rows[:, :2] + less(self.summed(file))
+        for k, d in enumerate(NEAR):
+            values, edge = rows[:, 2 + 2 * k : 4 + 2 * k], less(self.summed([f"{d}:edge"]))
+            if d < 0:
+                out[-d:] += values[:d]
+                out[:-d] += edge
+            else:
+                out[:-d] += values[d:]
+                out[max(0, n - d) :] += edge
+        seen = np.concatenate(([0], np.cumsum(rows[:, -2])))
+        before = (seen[:-1] - seen[np.maximum(np.arange(n) - 4, 0)] > 0)[:, None]
+        return out + np.where(before, rows[:, -4:-2], rows[:, -6:-4])
+
+    def inside(self, at: np.ndarray, file: list[str]) -> dict[int, int]:
+        """The tokens, given their rows, that tags() has as anything but outside, and these tags.
+
+        Where `outside` leads by more than `most`, it is better whatever tags stand around, so it is the tag in the best
+        sequence; the runs between such tokens are decoded each with `outside` around it.
+        """
+        margin = self.margins(at, file)
+        open_ = (margin > -self.most - 1e-6).any(axis=1)
+        left, out = np.flatnonzero(open_), {}
+        if not len(left):
+            return out
+        for run in np.split(left, np.flatnonzero(np.diff(left) > 1) + 1):
+            a, b = int(run[0]), int(run[-1]) + 1
+            rows = np.zeros((b - a, 3))
+            rows[:, :O] = margin[a:b]
+            path = self.best(rows, self.moves[O] if a else self.first, self.moves[:, O] if b < len(at) else np.zeros(3))
+            out |= {a + k: tag for k, tag in enumerate(path) if tag != O}
+        return out
+
     def tags(self, tokens: list[str], file: list[str]) -> list[int]:
-        """The best sequence, by Viterbi; of equal ones that with the lowest tags at the end."""
-        rows = self.scores(tokens, file).tolist()
+        """The best sequence of all tokens, by Viterbi."""
+        return self.best(self.scores(tokens, file), self.first, np.zeros(3))
+
+    def best(self, scores: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> list[int]:
+        """The best sequence by Viterbi; of equal ones that with the lowest tags at the end."""
+        rows = scores.tolist()
         (m00, m01, m02), (m10, m11, m12), (m20, m21, m22) = self.moves.tolist()
-        x, y, z = (v + f for v, f in zip(rows[0], self.first.tolist(), strict=True))
+        x, y, z = (v + f for v, f in zip(rows[0], enter.tolist(), strict=True))
         back = []
         for p, q, r in rows[1:]:
             a, b, c = x + m00, y + m10, z + m20
@@ -215,7 +318,7 @@ class Field:
             w = (0 if g >= i else 2) if g >= h else 1 if h >= i else 2
             x, y, z = (a, b, c)[u] + p, (d, e, f)[v] + q, (g, h, i)[w] + r
             back.append((u, v, w))
-        best = [x, y, z]
+        best = [v + f for v, f in zip((x, y, z), leave.tolist(), strict=True)]
         path = [best.index(max(best))]
         for b in reversed(back):
             path.append(b[path[-1]])
@@ -269,47 +372,36 @@ def trained(sequences: int = SEQUENCES, seed: int = 11) -> Field:
     return Field(names, w[:none], moves, first)
 
 
-def stretches(text: str, odd: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """REACH characters around each odd token, up to white space at either side, those that touch as one. Every
-    character is looked at once on the way back and once ahead, as nobody walks into an open stretch."""
-    out: list[list[int]] = []
-    for a, b in odd:
-        a, b = max(0, a - REACH), min(len(text), b + REACH)
-        floor = out[-1][1] if out else 0
-        while a > floor and not text[a - 1].isspace():
-            a -= 1
-        if out and a <= floor:
-            a = out[-1][0]
-        if out and a == out[-1][0]:
-            if b <= floor:
-                continue
-            out.pop()
-        ahead = SPACE.search(text, b)
-        out.append([a, ahead.start() if ahead else len(text)])
-    return [(a, b) for a, b in out]
+def runs(tags: dict[int, int]) -> list[tuple[int, int]]:
+    """(first, last) token of each span; an inside without a beginning begins as well."""
+    out: list[tuple[int, int]] = []
+    for k in sorted(tags):
+        if tags[k] == B or not out or out[-1][1] != k - 1:
+            out.append((k, k))
+        else:
+            out[-1] = (out[-1][0], k)
+    return out
 
 
 def decoded(text: str, parts: list[tuple[int, int]], field: Field, file: list[str]) -> list[tuple[int, int, str]]:
+    """Spans of parts of the text, by Viterbi over all of their tokens."""
     out = []
     for a, b in parts:
         places = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
         tags = field.tags([text[i:j] for i, j in places], file) if places else []
-        begin = last = -2
-        for k in [k for k, tag in enumerate(tags) if tag != O]:
-            if tags[k] == B or k != last + 1:  # an inside without a beginning begins as well
-                if begin >= 0:
-                    out.append((places[begin][0], places[last][1], "field"))
-                begin = k
-            last = k
-        if begin >= 0:
-            out.append((places[begin][0], places[last][1], "field"))
+        out += [(places[i][0], places[j][1], "field") for i, j in runs({k: tag for k, tag in enumerate(tags) if tag != O})]
     return out
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
-    """What the field tags, in code points."""
-    odd = [(m.start(), m.end()) for m in ODD.finditer(text)]
-    return decoded(text, stretches(text, odd), field, file_features(text, len(odd))) if odd else []
+    """What the field tags in the whole text, in code points."""
+    tokens = TOKEN.findall(text)
+    at = field.placed(tokens)
+    tags = field.inside(at, file_features(text, field.odd(at))) if tokens else {}
+    if not tags:
+        return []
+    places = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    return [(places[i][0], places[j][1], "field") for i, j in runs(tags)]
 
 
 def spans(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

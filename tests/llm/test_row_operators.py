@@ -25,6 +25,27 @@ def test_stretches_are_as_good_as_whole_texts(small):
         assert secret_scan.field_spans(text, field) == whole
 
 
+def test_secrets_far_from_anything_odd():
+    """No digit and no telling word stands in these texts, so nothing is odd; the best sequence of the whole text counts."""
+    field = secret_scan.trained()
+    for secret in ("JwlxZACoCXSEwrkGUWMT", "SyFcjkTWb+DfWSRQgupM"):
+        for around in ("some words before it ", "plain words " * 9000):  # of more tokens than are scored at a time
+            text = f"{around}login: '{secret}' and {around}"
+            assert not secret_scan.ODD.search(text)
+            found = secret_scan.field_spans(text, field)
+            assert [text[a:b] for a, b, _ in found] == [secret]
+            assert found == secret_scan.decoded(text, [(0, len(text))], field, secret_scan.file_features(text, 0))
+
+
+def test_tokens_left_out_of_viterbi_are_outside_in_the_best_sequence():
+    field, rng = secret_scan.trained(), random.Random(5)
+    for _ in range(300):
+        tokens = [t for _ in range(rng.randint(1, 4)) for t in secret_scan.made_sequence(rng)[0]]
+        at, file = field.placed(tokens), secret_scan.file_features(" ".join(tokens), rng.randint(0, 3))
+        assert field.inside(at, file) == {k: tag for k, tag in enumerate(field.tags(tokens, file)) if tag != secret_scan.O}
+        assert field.odd(at) == len(secret_scan.ODD.findall(" ".join(tokens)))
+
+
 def test_scores_are_the_sums_of_features():
     field, rng = secret_scan.trained(), random.Random(2)
     for _ in range(40):
