@@ -177,6 +177,59 @@ def test_signatures_recall_edited_passages(words, rng):
         assert set(key[text == 0].tolist()) & set(key[text == 1].tolist())
 
 
+def test_seed_signatures_meet_wherever_a_passage_is_verified(words, rng):
+    """Texts with a verified passage share AGREE signatures, whichever tokens are taken for common, also in texts that
+    repeat a few words."""
+    tried = 0
+    while tried < 300:
+        p = (words(rng.randint(50, 90)) if rng.random() < 0.7 else " ".join([words(rng.choice((3, 9, 30)))] * 20)).split()[:90]
+        q = list(p)
+        for _ in range(rng.choice((0, 1, 2))):
+            q[rng.randrange(len(q))] = words(1)
+        if rng.random() < 0.3:
+            del q[rng.randrange(len(q))]
+        pair = passages.Words([f"{words(60)} {' '.join(v)} {words(60)}".encode() for v in (p, q)])
+        token, at = pair.shingles(passages.SHINGLE)
+        x, y = (token[pair.text_of[at] == k] for k in (0, 1))
+        if not passages.common_passages(x, y):
+            continue
+        tried += 1
+        for common in (np.zeros(0, np.uint64), np.unique(x), np.unique(token[:: rng.randint(2, 5)]), np.unique(x[60 : 60 + rng.randint(20, 60)])):
+            key, text = passages.seed_signatures(pair, common)
+            assert len(set(key[text == 0].tolist()) & set(key[text == 1].tolist())) >= passages.AGREE
+            assert len(key) == len(set(zip(key.tolist(), text.tolist(), strict=True)))
+
+
+def test_no_class_is_cut(spark, monkeypatch):
+    """One of many classes under a signature has a member whose only partner is one node of another: it is found without rounds."""
+    from pyspark.sql import functions as F
+
+    members = spark.createDataFrame([(s, k) for k in range(60) for s in (1, 2)] + [(3, 59), (3, 200)], "signature long, node long")
+    first = spark.createDataFrame([(k, 0) for k in range(1, 60)], "a long, b long")
+    only = lambda some: some.filter("a = 41 and b = 17 or a = 200")
+    for rounds, agree, want in ((0, 1, {(41, 17), (200, 59)}), (1, 2, {(41, 17)})):
+        links = passages.found_links(first, members, only, rounds, agree)
+        assert {(r["a"], r["b"]) for r in links.collect()} == want
+
+
+def test_passages_against_all_pairs(spark, words, rng):
+    """Passages that share a line of 30 words, a common one, and part of which are edited: the classes are those of all pairs."""
+    line, texts = words(30), []
+    for k in range(120):
+        texts.append(f"{words(rng.randint(5, 40))} {line} {words(rng.randint(30, 60))}")
+    for _ in range(4):
+        base = f"{line} {words(40)}".split()
+        for _ in range(6):
+            v = list(base)
+            v[rng.randrange(30, 70)] = words(1)
+            texts.append(f"{words(20)} {' '.join(v)} {words(20)}")
+    tokens = [passages.Words([t.encode()]).shingles(passages.SHINGLE)[0] for t in texts]
+    want = brute_components(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if passages.common_passages(tokens[i], tokens[j])])
+    members = {k for k, g in want.items() if sum(other == g for other in want.values()) > 1}
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert members and got == {k: want[k] for k in members}
+
+
 def test_passage_whose_piece_stands_earlier(words):
     """A piece of the passage stands alone before it in one of the texts, or in both, once or several times."""
     tokens = lambda t: passages.Words([t.encode()]).shingles(passages.SHINGLE)[0]
