@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, every, identified, slices, small_side, texts
-from .passages import SAMPLED, candidates, found_links, streamed
+from .passages import AGREE, SAMPLED, candidates, common_tokens_of, found_links, held_in, streamed
 from .tokens import Words, mixed
 
 RADIUS, BANDS, SEED = 4, 6, 42
@@ -319,6 +319,30 @@ def distinct(words: Words, shingle: int, n: int) -> pa.Array:
     return pa.array(np.bincount(own[order][fresh], minlength=n), pa.int32())
 
 
+def prefixes(words: Words, shingle: int, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of all texts, and the text of each: texts whose sets of shingles are similar enough have AGREE in common.
+
+    They share at least `similarity` of the n shingles of either, so if all are put in one order, AGREE stand among
+    the first n - ceil(similarity * n) + AGREE of both. Common shingles (sorted) come last. Texts of fewer shingles than
+    AGREE have each of them that many times.
+    """
+    token, at = words.shingles(shingle)
+    if not len(token):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    own = words.text_of[at]
+    by = np.lexsort((token, mixed(token, 5), held_in(token, common), own))
+    token, own = token[by], own[by]
+    fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])))
+    token, own = token[fresh], own[fresh]
+    n = np.bincount(own)
+    first = np.concatenate(([0], np.cumsum(n)))[:-1]
+    kept = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + AGREE
+    keep = np.arange(len(own)) - first[own] < kept[own]
+    short = n[own] < AGREE
+    parts = [(token[keep], own[keep]), *((mixed(token[short], 20 + k), own[short]) for k in range(1, AGREE))]
+    return np.concatenate([mixed(t, 7) for t, _ in parts]), np.concatenate([o for _, o in parts])
+
+
 def similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows as passages.streamed() sends them to the pairs (a, b) whose sets of shingles are similar enough."""
     shingled = lambda t: np.unique(Words([t.encode().lower()]).shingles(shingle)[0])
@@ -346,8 +370,8 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     miss them. SKETCH pieces of a text are compared (a min-hash sample; texts with fewer pieces add as many
     shingles). Texts with an equal piece are sorted by the pieces before it in their samples, and a text meets the
     first and the WIDTH ones before it there, so candidates stay in proportion to texts; groups that aren't one class
-    then go into another round (passages.found_links). This isn't exact: a pair is missed if its
-    samples have no piece in common, or if the orders put it apart.
+    then go into another round (passages.found_links). Last, all pairs of texts that are still in two groups and may be
+    similar enough (those with AGREE equal prefixes()) are verified, so no link between two groups is left out.
     Equal texts are one node. Null texts are empty; texts without words are one group. Very long texts are used whole,
     repeated rows leave one of them, rows without doc_id come last, and an empty table stays empty. Columns may have
     any names but those that begin with two underscores.
@@ -376,6 +400,12 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     signed = each.select(F.explode(F.arrays_zip("pieces", "ahead")).alias("s"), "node").select(F.col("s.pieces").alias("signature"), F.col("s.ahead").alias("ahead"), "node")
     met, members = candidates(signed, signed.filter(F.pmod("node", F.lit(SAMPLED)) == 0), ["ahead"], WIDTH, F.shiftright("ahead", 42))
     sizes = each.select("node", "size")
+    common = common_tokens_of(checkpointed(once.filter(F.pmod("node", F.lit(SAMPLED)) == 0)), shingle)
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            key, text = prefixes(Words([t.encode().lower() for t in b.column(1).to_pylist()]), shingle, similarity, common)
+            yield pa.record_batch({"signature": pa.array(key.view(np.int64)), "node": pa.array(b.column(0).to_numpy(zero_copy_only=False)[text])})
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose sets of shingles are similar enough; sizes tell most of the others."""
@@ -384,7 +414,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
         some = checkpointed(pairs.filter(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")).select("a", "b"))
         return streamed(some, known.select("node", "text"), sizes, lambda it: similar(it, shingle, similarity), "a long, b long")
 
-    by_piece = found_links(met, members, alike, FURTHER)
+    by_piece = found_links(met, members, alike, FURTHER, AGREE, once.mapInArrow(ahead, "signature long, node long").distinct())
     classes = components(by_print.unionByName(by_piece))
     placed = known_nodes.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = placed.groupBy("component").agg(F.min(F.struct("first.nameless", "first.doc_id", "node")).alias("keeper"), F.sum("n").alias("rows")).filter("rows > 1")

@@ -115,6 +115,45 @@ def test_dedup_among_weak_copies(spark, words, rng):
     assert len({groups[k] for k in kept}) == len(kept)
 
 
+def test_prefixes_meet_wherever_sets_are_similar(words, rng):
+    texts = []
+    for size in (5, 6, 7, 9, 12, 30, 60, 200):
+        base = words(size).split()
+        for edits in (0, 0, 1, 1, 2, 4, 7):
+            v = list(base)
+            for _ in range(edits):
+                v[rng.choice((0, size - 1, rng.randrange(size)))] = words(1)
+            texts.append(" ".join(v))
+    both, sets = simhash.Words([t.encode() for t in texts]), shingle_sets(texts)
+    token, _ = both.shingles(5)
+    for common in (np.zeros(0, np.uint64), np.unique(token[::3]), np.unique(token)):
+        key, text = simhash.prefixes(both, 5, 0.8, common)
+        own = [set(key[text == k].tolist()) for k in range(len(texts))]
+        for i in range(len(texts)):
+            for j in range(i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    assert len(own[i] & own[j]) >= passages.AGREE
+
+
+def test_dedup_links_texts_that_no_piece_and_no_order_brings_together(spark, words, rng, monkeypatch):
+    """With one piece a text, most similar texts have none in common; all are found nevertheless."""
+    monkeypatch.setattr(simhash, "SKETCH", 1)
+    texts = []
+    for size, edits in ((150, 4), (40, 1)):
+        for _ in range(25):
+            base = words(size).split()
+            for _ in range(2):
+                v = list(base)
+                for _ in range(edits):
+                    v[rng.randrange(size)] = words(1)
+                texts.append(" ".join(v))
+    sets = shingle_sets(texts)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    groups = brute_components(range(len(texts)), near)
+    kept = [r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert len({groups[k] for k in kept}) == len(kept) < len(texts)
+
+
 @pytest.mark.parametrize("size", [1, 3, 100])
 def test_linked_pairs_across_batches(size):
     rows = [(1, 5), (1, 5), (1, 6), (1, 2), (1, 9), (2, 9), (3, 4), (3, 7)]
