@@ -5,9 +5,10 @@ all documents. A whole text is the vector of (1 + log tf) * idf * (PLAIN + mark)
 says how strongly the presence of a word marks a label in the sample: the phi coefficient, less what chance makes of
 it (CHANCE off the chi-square); a word without one keeps the weight PLAIN, and a word that no example has counts in the
 length of the text, with the largest idf. The sample's vectors are indexed by term in blocks of BLOCK examples that
-resemble each other, each block of a term with its largest weight. For a text the blocks' bounds are summed; the
-FIRST blocks with the highest bounds are scored, and then all whose bound reaches the K-th best score so far, so the K
-nearest are exact (ties: the smaller doc_id). Each neighbour votes with 1 / (distance + SOFT), weighted so that the
+resemble each other, each block of a term with its largest weight; the DENSE most frequent terms, whose postings are
+most of all, are rows of a matrix instead, by which many texts are multiplied at once. For a text the blocks' bounds
+are summed, from the largest product in the block on; the FIRST blocks with the highest bounds are scored, and then all
+whose bound reaches the K-th best score so far, so the K nearest are exact (ties: the smaller doc_id). Each neighbour votes with 1 / (distance + SOFT), weighted so that the
 sample's classes count as they do among all labels, and the score is the share of label 1 in the votes.
 """
 
@@ -17,6 +18,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, held_out, labelled_sample, slices, texts
 
 SAMPLE, BLOCK, FIRST, K, SOFT, PLAIN, CHANCE = 2500, 64, 2, 15, 0.05, 0.02, 10.0
+#: Terms of the matrix, at most: those that BLOCK examples or more have, the most frequent first.
+DENSE = 512
 #: Texts that are looked up at once, and (term, block) cells and postings that are held for them.
 QUERIES, CELLS, POSTINGS = 64, 1 << 19, 1 << 20
 #: A-Z to small letters; ASCII signs other than letters and digits to spaces; bytes of other letters stay.
@@ -39,7 +43,9 @@ def terms(text: str | None) -> list[bytes]:
 
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its size, one range after the other."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 def marks(n_one: np.ndarray, n_zero: np.ndarray, ones: int, zeros: int) -> np.ndarray:
@@ -52,7 +58,8 @@ def marks(n_one: np.ndarray, n_zero: np.ndarray, ones: int, zeros: int) -> np.nd
 
 
 class Index:
-    """Postings by term and block of examples, with the largest weight of each such cell."""
+    """Postings by term and block of examples, with the largest weight of each such cell; the most frequent terms stand
+    in a matrix and have no postings."""
 
     def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, width: int):
         """Example k has term[first[k]:first[k + 1]]; terms are below width."""
@@ -70,6 +77,14 @@ class Index:
         place = np.empty(self.n, np.int64)
         place[self.example_at] = np.arange(self.n)
         at = place[example]
+        dense = np.argsort(-frequent, kind="stable")[:DENSE]
+        dense = dense[frequent[dense] >= BLOCK]
+        self.dense_row = np.full(width, -1)
+        self.dense_row[dense] = np.arange(len(dense))
+        row = self.dense_row[term]
+        self.matrix = np.zeros((len(dense), self.blocks * BLOCK))
+        self.matrix[row[row >= 0], at[row >= 0]] = weight[row >= 0]
+        at, weight, term = at[row < 0], weight[row < 0], term[row < 0]
         order = np.lexsort((at, term))
         self.at, self.weight, term = at[order], weight[order], term[order]
         cell = term * self.blocks + self.at // BLOCK
@@ -83,40 +98,46 @@ class Index:
         """For each of n queries (rows: query, term, weight; sorted by query) its k nearest examples with a common term
         and their cosines, the best first, ties by example."""
         size = self.of_term[term + 1] - self.of_term[term]
-        cells, row = ranges(self.of_term[term], size), np.repeat(np.arange(len(term)), size)
-        pair = query[row] * self.blocks + self.cell_block[cells]
-        bound = np.bincount(pair, weight[row] * self.cell_max[cells], n * self.blocks).reshape(n, self.blocks)
+        cells, of, heft = ranges(self.of_term[term], size), np.repeat(query, size), np.repeat(weight, size)
+        pair = of * self.blocks + self.cell_block[cells]
+        frequent = np.flatnonzero(self.dense_row[term] >= 0)
+        known = np.zeros((n, len(self.matrix)))
+        known[query[frequent], self.dense_row[term[frequent]]] = weight[frequent]
+        score = known @ self.matrix
+        bound = score.reshape(n, self.blocks, BLOCK).max(axis=2) + np.bincount(pair, heft * self.cell_max[cells], n * self.blocks).reshape(n, self.blocks)
         ranked = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
         chosen = np.zeros((n, self.blocks), bool)
         np.put_along_axis(chosen, ranked, True, axis=1)
-        score = np.zeros((n, self.blocks * BLOCK))
-        self.add(score, chosen, cells, row, pair, query, weight)
-        kth = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.zeros(n)
-        self.add(score, (bound >= kth[:, None] - 1e-9) & (bound > 0) & ~chosen, cells, row, pair, query, weight)
-        out = []
-        for own in score[:, : self.n]:
-            some = np.flatnonzero(own >= np.partition(own, -k)[-k] - 1e-9) if len(own) > k else np.arange(len(own))
-            some = some[own[some] > 0]
-            example = self.example_at[some]
-            best = np.lexsort((example, -np.round(own[some], 9)))[:k]
-            out.append((example[best], own[some][best]))
-        return out
-
-    def add(self, score: np.ndarray, chosen: np.ndarray, cells: np.ndarray, row: np.ndarray, pair: np.ndarray, query: np.ndarray, weight: np.ndarray) -> None:
+        self.add(score, chosen, cells, of, pair, heft)
+        best = np.take_along_axis(score.reshape(n, self.blocks, BLOCK), ranked[:, :, None], axis=1).reshape(n, -1)
+        kth = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] >= k else np.zeros(n)
+        self.add(score, (bound >= kth[:, None] - 1e-9) & (bound > 0) & ~chosen, cells, of, pair, heft)
+        own = score[:, : self.n]
+        least = np.partition(own, -k, axis=1)[:, -k] - 1e-9 if self.n > k else np.zeros(n)
+        who, at = np.nonzero((own >= least[:, None]) & (own > 0))
+        example, cosine = self.example_at[at], own[who, at]
+        order = np.lexsort((example, -np.round(cosine, 9), who))
+        example, cosine, cut = example[order], cosine[order], np.searchsorted(who, np.arange(n + 1)).tolist()
+        return [(example[a : min(b, a + k)], cosine[a : min(b, a + k)]) for a, b in zip(cut, cut[1:], strict=False)]
+
+    def add(self, score: np.ndarray, chosen: np.ndarray, cells: np.ndarray, of: np.ndarray, pair: np.ndarray, heft: np.ndarray) -> None:
         """Adds the products of the cells in the chosen (query, block) pairs to score (queries x places)."""
         some = np.flatnonzero(chosen.ravel()[pair])
         if not len(some):
             return
-        cells, row = cells[some], row[some]
-        size = self.cell_start[cells + 1] - self.cell_start[cells]
+        cells, of, heft = cells[some], of[some], heft[some]
+        start = self.cell_start[cells]
+        size = self.cell_start[cells + 1] - start
         part = np.cumsum(size) // POSTINGS
         cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True):
-            own, n = row[a:b], size[a:b]
-            posting = ranges(self.cell_start[cells[a:b]], n)
-            low, high = int(query[own[0]]), int(query[own[-1]]) + 1
-            flat = np.repeat((query[own] - low) * score.shape[1], n) + self.at[posting]
-            score[low:high] += np.bincount(flat, np.repeat(weight[own], n) * self.weight[posting], (high - low) * score.shape[1]).reshape(high - low, -1)
+            n, low, high = size[a:b], int(of[a]), int(of[b - 1]) + 1
+            posting = ranges(start[a:b], n)
+            flat = np.repeat((of[a:b] - low) * score.shape[1], n)
+            flat += self.at[posting]
+            value = np.repeat(heft[a:b], n)
+            value *= self.weight[posting]
+            score[low:high] += np.bincount(flat, value, (high - low) * score.shape[1]).reshape(high - low, -1)
 
 
 _BUILT: dict[str, tuple[Index, dict[bytes, int]]] = {}
@@ -179,9 +200,12 @@ class Voter:
 
 def vector(words: list[bytes], place: dict[bytes, int], heft: np.ndarray, rest: float) -> tuple[np.ndarray, np.ndarray]:
     """The terms of a text, ascending, and their weights in its vector of length 1."""
-    ids = np.array([place.get(w, -1) for w in words], np.int64)
-    term, n = np.unique(ids[ids >= 0], return_counts=True)
-    others = np.array(list(Counter(words[i] for i in np.flatnonzero(ids < 0).tolist()).values()), float)
+    counts = Counter(words)
+    ids = np.fromiter(map(place.get, counts, repeat(-1)), np.int64, len(counts))
+    n = np.fromiter(counts.values(), np.int64, len(counts))
+    others = n[ids < 0].astype(float)
+    order = np.argsort(ids, kind="stable")[len(others) :]
+    term, n = ids[order], n[order]
     weight = (1 + np.log(n)) * heft[term]
     length = np.sqrt((weight * weight).sum() + (((1 + np.log(others)) * rest) ** 2).sum())
     return term, weight / length if length else weight
@@ -193,9 +217,9 @@ def frequencies(docs: DataFrame, place: dict[bytes, int]) -> tuple[int, np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, n = np.zeros(len(place) + 1, np.int64), 0
         for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                met[[place[w] for w in set(terms(text)) if w in place]] += 1
-                n += 1
+            some = [i for text in b.column(0).to_pylist() for w in set(terms(text)) if (i := place.get(w)) is not None]
+            met += np.bincount(np.array(some, np.int64), minlength=len(met))
+            n += b.num_rows
         met[-1] = n
         some = np.flatnonzero(met)
         yield pa.record_batch({"term": pa.array(some, pa.int64()), "n": pa.array(met[some])})

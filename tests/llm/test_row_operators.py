@@ -227,6 +227,31 @@ def test_nearest_is_exact(monkeypatch):
             assert cosine == pytest.approx(score[order]) and (who == order).all()
 
 
+def test_frequent_terms_have_no_postings_and_nearest_is_exact(monkeypatch):
+    """Terms that most examples have are multiplied at once, whether all of them fit the matrix or not."""
+    rng = np.random.default_rng(4)
+    width, vectors = 60, []
+    for _ in range(500):
+        t = np.unique(np.concatenate((np.flatnonzero(rng.random(12) < 0.8), rng.integers(12, width, rng.integers(0, 5)))))
+        w = rng.random(len(t)) + 0.1
+        vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
+    first, term, weight = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors]))), np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+    dense = np.zeros((500, width))
+    for k, (t, w) in enumerate(vectors):
+        dense[k, t] = w
+    query = np.repeat(np.arange(500), np.diff(first))
+    for most in (toxicity.DENSE, 5, 0):
+        monkeypatch.setattr(toxicity, "DENSE", most)
+        index = toxicity.Index(first, term, weight, width)
+        without = np.flatnonzero(np.diff(index.of_term) == 0)
+        assert set(without) == set(range(12)) if most > 12 else len(without) == most
+        for q, (who, cosine) in zip(dense, index.nearest(query, term, weight, 500, 9), strict=True):
+            score = dense @ q
+            order = np.lexsort((np.arange(500), -np.round(score, 9)))[:9]
+            order = order[score[order] > 0]
+            assert cosine == pytest.approx(score[order]) and (who == order).all()
+
+
 def test_toxicity_against_dense_vectors(small):
     """Every score of the query's operator, from vectors over all words and cosines with all examples."""
     docs, labels = small("documents"), small("labels")
