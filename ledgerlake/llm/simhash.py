@@ -343,18 +343,16 @@ def prefixes(words: Words, shingle: int, similarity: float, common: np.ndarray)
     return np.concatenate([mixed(t, 7) for t, _ in parts]), np.concatenate([o for _, o in parts])
 
 
-def similar(batches: Iterator[pa.RecordBatch], shingle: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows as passages.streamed() sends them to the pairs (a, b) whose sets of shingles are similar enough."""
-    shingled = lambda t: np.unique(Words([t.encode().lower()]).shingles(shingle)[0])
+def similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows as passages.streamed() sends them, told the sorted sets of shingles, to the pairs (a, b) whose sets are similar enough."""
     y = np.zeros(0, np.uint64)
     for batch in slices(batches):
         out = []
-        for a, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for a, b, told in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            x = np.frombuffer(told, np.uint64)
             if a is None:
-                y = shingled(text)
-                continue
-            x = shingled(text)
-            if min(len(x), len(y)) >= similarity * max(len(x), len(y), 1):
+                y = x
+            elif min(len(x), len(y)) >= similarity * max(len(x), len(y), 1):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both):
                     out.append((a, b))
@@ -412,7 +410,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
         for s in "ab":
             pairs = pairs.join(small_side(sizes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"))), s)
         some = checkpointed(pairs.filter(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")).select("a", "b"))
-        return streamed(some, known.select("node", "text"), sizes, lambda it: similar(it, shingle, similarity), "a long, b long")
+        return streamed(some, known.select("node", "text"), sizes, lambda t: np.unique(Words([t.encode().lower()]).shingles(shingle)[0]).tobytes(), lambda it: similar(it, similarity), "a long, b long")
 
     by_piece = found_links(met, members, alike, FURTHER, AGREE, once.mapInArrow(ahead, "signature long, node long").distinct())
     classes = components(by_print.unionByName(by_piece))

@@ -239,6 +239,39 @@ def test_seed_signatures_meet_wherever_a_passage_is_verified(words, rng):
             assert len(key) == len(set(zip(key.tolist(), text.tolist(), strict=True)))
 
 
+def test_pairs_out_of_reach_are_told_by_their_tokens_and_none_else(words, rng):
+    """Texts that only repeat a word, or share lines far apart, aren't aligned; all that have a passage are."""
+    tokens = lambda t: passages.Words([t.encode()]).shingles(passages.SHINGLE)[0]
+
+    def reach(a, b):
+        x, y = (passages.unpacked(passages.told_tokens(t)) for t in (a, b))
+        assert (x[0] == tokens(a)).all()
+        one, two = (passages.reachable([*some, u, *some], np.sort(v[0]), 46)[1 if some else 0] for u, v in ((x, y), (y, x)))
+        return one and two
+
+    lines, some = [words(13) for _ in range(4)], []
+    apart = [" ".join(f"{line} {words(30)}" for line in lines) for _ in range(2)]
+    assert not reach(*apart)
+    the = [f"{words(60)} {'the ' * 40} {words(60)}" for _ in range(2)]
+    assert passages.covered(tokens(the[0]), tokens(the[1]), 46) and not reach(*the)
+    assert not reach("", the[0]) and not reach(the[0], "")
+    found, some = 0, [passages.unpacked(passages.told_tokens(the[0]))]
+    for n in range(400):
+        base = words(rng.randint(30, 120)).split()
+        if n % 3 == 0:
+            base[10:10] = ["the"] * rng.randint(5, 60)
+        texts = []
+        for _ in range(2):
+            v = list(base)
+            for _ in range(rng.randint(0, 5)):
+                v[rng.randrange(len(v))] = words(rng.choice([1, 1, 2, 9])) if rng.random() < 0.8 else ""
+            texts.append(f"{words(rng.randint(0, 30))} {' '.join(v)} {words(rng.randint(0, 30))}")
+        if passages.common_passages(*map(tokens, texts)):
+            found += 1
+            assert reach(*texts)
+    assert found > 60
+
+
 def test_no_class_is_cut(spark, monkeypatch):
     """One of many classes under a signature has a member whose only partner is one node of another: it is found without rounds."""
     from pyspark.sql import functions as F
