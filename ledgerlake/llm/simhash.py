@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, every, identified, slices, small_side, texts
+from .common import checkpointed, components, every, identified, release, slices, small_side, texts
 from .passages import AGREE, SAMPLED, candidates, common_tokens_of, found_links, held_in, streamed
 from .tokens import Words, mixed
 
@@ -379,6 +379,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     known = mark(plain, "text", "node")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches):
             texts_here = b.column(1).to_pylist()
             words = Words([t.encode().lower() for t in texts_here])
@@ -401,6 +402,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rad
     common = common_tokens_of(checkpointed(once.filter(F.pmod("node", F.lit(SAMPLED)) == 0)), shingle)
 
     def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches):
             key, text = prefixes(Words([t.encode().lower() for t in b.column(1).to_pylist()]), shingle, similarity, common)
             yield pa.record_batch({"signature": pa.array(key.view(np.int64)), "node": pa.array(b.column(0).to_numpy(zero_copy_only=False)[text])})

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held_out, labelled_sample, slices, texts
+from .common import checkpointed, held_out, kept, labelled_sample, slices, texts
 
 SAMPLE, BLOCK, FIRST, K, SOFT, PLAIN, CHANCE = 2500, 64, 2, 15, 0.05, 0.02, 10.0
 #: Terms of the matrix, at most: those that BLOCK examples or more have, the most frequent first.
@@ -140,9 +140,6 @@ class Index:
             score[low:high] += np.bincount(flat, value, (high - low) * score.shape[1]).reshape(high - low, -1)
 
 
-_BUILT: dict[str, tuple[Index, dict[bytes, int]]] = {}
-
-
 @dataclass
 class Voter:
     """What a worker needs to score texts: terms and their weights, the examples' vectors and labels."""
@@ -161,10 +158,7 @@ class Voter:
 
     def prepared(self) -> tuple[Index, dict[bytes, int]]:
         """Index and terms, made once in a worker."""
-        if self.name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[self.name] = (Index(self.first, self.term, self.weight, len(self.words)), {w: i for i, w in enumerate(self.words)})
-        return _BUILT[self.name]
+        return kept(self.name, lambda: (Index(self.first, self.term, self.weight, len(self.words)), {w: i for i, w in enumerate(self.words)}))
 
     def scores(self, batch: list[str | None]) -> tuple[list[float], list[list[int]]]:
         """The share of weighted votes for label 1, and the doc_ids of the first three voters, of each text."""

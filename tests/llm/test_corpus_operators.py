@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from ledgerlake.llm import decontamination, passages, preference, queries, simhash
+from ledgerlake.llm import common, decontamination, passages, preference, queries, simhash
 from ledgerlake.llm.common import components, table
 
 
@@ -460,6 +460,15 @@ def test_decontamination_against_definition(spark, small):
     assert not any(d == 90007 for d, _ in found)
 
 
+def test_a_worker_keeps_one_thing_until_it_is_released():
+    """Workers go on to the next stage: what the toxicity stage built must not stay beside what that one needs."""
+    assert common.kept("a", lambda: [1]) is common.kept("a", lambda: [2])
+    common.kept("b", list)
+    assert set(common._KEPT) == {"b"}
+    common.release()
+    assert not common._KEPT
+
+
 def test_stages_keep_columns_with_any_name(spark, messy):
     odd = messy.withColumnRenamed("node", "a.b").withColumnRenamed("fp", "select").withColumnRenamed("spans", "c`d")
     bench = spark.createDataFrame([(1, "nothing of that kind stands in any of these texts at all")], "item_id long, text string")
