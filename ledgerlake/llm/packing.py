@@ -8,7 +8,6 @@ needs no mask. Nothing is shuffled: the pieces follow from a document alone.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import zlib
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import kept, slices, texts
 
 CONTEXT, END = 1024, 0
 #: Texts with other characters go to the reference tokenizer itself: letters, marks and signs of Latin script.
@@ -40,7 +39,6 @@ def bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Callable[[str], list[int]]:
     """Text to the ids that the tokenizers library gives for this file, add_special_tokens=False.
 
@@ -89,7 +87,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT,
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = kept(path, lambda: encoder(path))
         for b in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

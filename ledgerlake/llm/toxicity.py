@@ -21,7 +21,6 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,34 +64,38 @@ class Index:
         """Example k has term[first[k]:first[k + 1]]; terms are below width."""
         self.n = len(first) - 1
         self.blocks = max(1, -(-self.n // BLOCK))
-        example = np.repeat(np.arange(self.n), np.diff(first))
+        example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(first))
         frequent = np.bincount(term, minlength=width)
         # neighbours in the order have the same most frequent term (most often: the language) and the same heaviest one
         lead = [np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)]
-        for k, value in enumerate((frequent[term], weight)):
-            order = np.lexsort((value, example))
-            last = np.flatnonzero(np.append(example[order][1:] != example[order][:-1], True)) if len(order) else order
-            lead[k][example[order][last]] = term[order][last]
+        for k, value in enumerate((frequent, weight)):
+            order = np.lexsort((value[term] if k == 0 else value, example))
+            own = example[order]
+            last = np.flatnonzero(np.append(own[1:] != own[:-1], True)) if len(order) else order
+            lead[k][own[last]] = term[order[last]]
         self.example_at = np.lexsort((lead[1], lead[0]))
-        place = np.empty(self.n, np.int64)
+        place = np.empty(self.n, np.int32)
         place[self.example_at] = np.arange(self.n)
         at = place[example]
+        del example
         dense = np.argsort(-frequent, kind="stable")[:DENSE]
         dense = dense[frequent[dense] >= BLOCK]
-        self.dense_row = np.full(width, -1)
+        self.dense_row = np.full(width, -1, np.int32)
         self.dense_row[dense] = np.arange(len(dense))
-        row = self.dense_row[term]
+        some = np.flatnonzero(self.dense_row[term] >= 0)
         self.matrix = np.zeros((len(dense), self.blocks * BLOCK))
-        self.matrix[row[row >= 0], at[row >= 0]] = weight[row >= 0]
-        at, weight, term = at[row < 0], weight[row < 0], term[row < 0]
-        order = np.lexsort((at, term))
+        self.matrix[self.dense_row[term[some]], at[some]] = weight[some]
+        rest = np.flatnonzero(self.dense_row[term] < 0)
+        order = rest[np.lexsort((at[rest], term[rest]))]
+        del rest, some
         self.at, self.weight, term = at[order], weight[order], term[order]
-        cell = term * self.blocks + self.at // BLOCK
-        self.cell_start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
-        self.cell_block = cell[self.cell_start] % self.blocks
-        self.cell_max = np.maximum.reduceat(self.weight, self.cell_start) if len(cell) else np.zeros(0)
-        self.of_term = np.searchsorted(cell[self.cell_start] // self.blocks, np.arange(width + 1))
-        self.cell_start = np.append(self.cell_start, len(cell))
+        del order
+        cell = term.astype(np.int64) * self.blocks + self.at // BLOCK
+        start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+        self.cell_block = (self.at[start] // BLOCK).astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.weight, start) if len(cell) else np.zeros(0)
+        self.of_term = np.searchsorted(term[start], np.arange(width + 1))
+        self.cell_start = np.append(start, len(cell))
 
     def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of n queries (rows: query, term, weight; sorted by query) its k nearest examples with a common term
@@ -137,14 +140,18 @@ class Index:
             flat += self.at[posting]
             value = np.repeat(heft[a:b], n)
             value *= self.weight[posting]
+            del posting
             score[low:high] += np.bincount(flat, value, (high - low) * score.shape[1]).reshape(high - low, -1)
 
 
 @dataclass
 class Voter:
-    """What a worker needs to score texts: terms and their weights, the examples' vectors and labels."""
+    """What a worker needs to score texts: terms and their weights, the examples' vectors and labels.
 
-    words: list[bytes]
+    Every task unpickles it, so the terms are one string, and arrays are narrow; a worker makes the rest once.
+    """
+
+    words: bytes  # the terms, with spaces between
     heft: np.ndarray  # idf * (PLAIN + mark) of each term
     rest: float  # of words that aren't terms
     first: np.ndarray
@@ -158,7 +165,7 @@ class Voter:
 
     def prepared(self) -> tuple[Index, dict[bytes, int]]:
         """Index and terms, made once in a worker."""
-        return kept(self.name, lambda: (Index(self.first, self.term, self.weight, len(self.words)), {w: i for i, w in enumerate(self.words)}))
+        return kept(self.name, lambda: (Index(self.first, self.term, self.weight, len(self.heft)), places(self.words)))
 
     def scores(self, batch: list[str | None]) -> tuple[list[float], list[list[int]]]:
         """The share of weighted votes for label 1, and the doc_ids of the first three voters, of each text."""
@@ -192,6 +199,10 @@ class Voter:
         return shares, evidence
 
 
+def places(words: bytes) -> dict[bytes, int]:
+    return {w: i for i, w in enumerate(words.split())}
+
+
 def vector(words: list[bytes], place: dict[bytes, int], heft: np.ndarray, rest: float) -> tuple[np.ndarray, np.ndarray]:
     """The terms of a text, ascending, and their weights in its vector of length 1."""
     counts = Counter(words)
@@ -205,10 +216,12 @@ def vector(words: list[bytes], place: dict[bytes, int], heft: np.ndarray, rest:
     return term, weight / length if length else weight
 
 
-def frequencies(docs: DataFrame, place: dict[bytes, int]) -> tuple[int, np.ndarray]:
+def frequencies(docs: DataFrame, words: bytes) -> tuple[int, np.ndarray]:
     """The documents, and how many of them have each term; a task sends a row for each term that it met."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = kept(name, lambda: places(words))
         met, n = np.zeros(len(place) + 1, np.int64), 0
         for b in slices(batches):
             some = [i for text in b.column(0).to_pylist() for w in set(terms(text)) if (i := place.get(w)) is not None]
@@ -219,7 +232,7 @@ def frequencies(docs: DataFrame, place: dict[bytes, int]) -> tuple[int, np.ndarr
         yield pa.record_batch({"term": pa.array(some, pa.int64()), "n": pa.array(met[some])})
 
     counted = texts(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(place) + 1, np.int64)
+    out = np.zeros(len(words.split()) + 1, np.int64)
     for r in counted.collect():  # at most a row for each term of the sample
         out[r["term"]] = r["n"]
     return int(out[-1]), out[:-1]
@@ -233,7 +246,8 @@ def voter(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     y = np.array([r["label"] for r in got], float)
     words = sorted({w for r in got for w in terms(r["text"])})
     place = {w: i for i, w in enumerate(words)}
-    n, df = frequencies(docs, place)
+    joined = b" ".join(words)
+    n, df = frequencies(docs, joined)
     have = [np.unique(np.array([place[w] for w in terms(r["text"])], np.int64)) for r in got]
     by_label = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(h for h, v in zip(have, y, strict=True) if v == k)]), minlength=len(words)).astype(float) for k in (1, 0)]
     mark = marks(*by_label, int(y.sum()), int(len(y) - y.sum()))
@@ -243,7 +257,7 @@ def voter(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     first = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors]))).astype(np.int64)
     term, weight = (np.concatenate([np.zeros(0, kind), *(v[k] for v in vectors)]) for k, kind in enumerate((np.int64, float)))
     classes = np.array([1 - share, share]) / np.maximum([len(y) - y.sum(), y.sum()], 1) * max(1, len(y))
-    return Voter(words, heft, rest, first, term, weight, y, classes[y.astype(int)], np.array([r["doc_id"] for r in got], np.int64), share, uuid.uuid4().hex)
+    return Voter(joined, heft, rest, first, term.astype(np.int32), weight, y, classes[y.astype(int)], np.array([r["doc_id"] for r in got], np.int64), share, uuid.uuid4().hex)
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE, least: float = 0.5) -> DataFrame:
@@ -271,8 +285,8 @@ def cleaned(docs: DataFrame, labels: DataFrame, label: str = "toxic", least: flo
     """
     judge = voter(docs, labels, label)
 
-    @F.pandas_udf("double")
-    def toxic(part: pd.Series) -> pd.Series:
-        return pd.Series(judge.scores(part.tolist())[0], dtype="float64")
+    @F.arrow_udf("double")
+    def toxic(part: pa.Array) -> pa.Array:
+        return pa.array(judge.scores(part.to_pylist())[0], pa.float64())
 
     return docs.filter(toxic(F.col("text").cast("string")) < least)

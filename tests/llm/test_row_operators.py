@@ -355,3 +355,24 @@ def test_a_small_domain_is_permuted(spark):
     out = pairs.select(pseudonyms.permuted("k", F.lit("t"), F.col("a"), F.col("b"), F.lit(12), F.lit(35)).alias("p"))
     got = {(r["p"]["a"], r["p"]["b"]) for r in out.collect()}
     assert got == {(a, b) for a in range(12) for b in range(35)}
+
+
+def test_a_task_of_the_toxicity_stage_unpickles_no_lists_and_the_tokenizer_is_let_go():
+    """What every task unpickles holds no object for each term, and one thing at a time is kept by a worker: index or tokenizer."""
+    import pickle
+
+    from ledgerlake.llm import common
+
+    n = 2000
+    words, first = b" ".join(b"w%d" % i for i in range(n)), np.arange(0, n + 1, 10)
+    judge = toxicity.Voter(words, np.ones(n), 0.1, first, np.arange(n, dtype=np.int32), np.full(n, 10**-0.5), np.arange(n // 10) % 2.0, np.ones(n // 10), np.arange(n // 10), 0.5, "name")
+    sent = pickle.loads(pickle.dumps(judge))
+    assert not any(isinstance(v, (list, dict)) for v in vars(sent).values())
+    assert sent.scores(["w1 w2 w3", "w11 w12", ""])[0] == [0.0, 1.0, 0.5]
+    index, place = sent.prepared()
+    assert place[b"w1999"] == 1999 and index.at.dtype == np.int32
+    path = packing.default_vocabulary()
+    common.kept(path, lambda: packing.encoder(path))
+    assert set(common._KEPT) == {path}
+    common.release()
+    assert not common._KEPT and not hasattr(packing.encoder, "cache_info")
